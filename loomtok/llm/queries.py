@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtok.llm import line_dedup, packing, pii, quality, simhash
+from loomtok.llm import chat, html_extract, line_dedup, packing, pii, quality, sentencepiece_fst, simhash, tiff, token_count
 from loomtok.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,30 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extraction(table(spark, sf_dir, "pages"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.sentencepiece(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(table(spark, sf_dir, "documents"))
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.tiff_pages(tiff.rendered(table(spark, sf_dir, "embeddings")), "vec_id", "media", values=True)
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(chat.typed(table(spark, sf_dir, "conversations")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -32,5 +52,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_packing, op8_quality_rules, op9_pii, op10_simhash)}
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_html_extraction, op3_sentencepiece, op4_packing, op5_tiff, op6_chat_formatting, op7_token_counts, op8_quality_rules, op9_pii, op10_simhash)
+}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_tiff": tiff.ORACLE, "op6_chat_formatting": chat.ORACLE}
