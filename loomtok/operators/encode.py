@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from loomtok.functions.chars import PYTHON_CLASS, byte_decode, byte_encode
+from loomtok.functions.chars import PYTHON_CLASS, WHITESPACE, byte_decode, byte_encode
 
 _BYTE_PIECES = re.compile(f"[{PYTHON_CLASS}]*[^{PYTHON_CLASS}]+|[{PYTHON_CLASS}]+")
 _WORDS = re.compile(f"[^{PYTHON_CLASS}]+")
@@ -71,6 +71,25 @@ class Encoder:
             out += ids
         return out
 
+    def many(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces, which may have blanks before a word."""
+        memo, limit, byte_level = self.memo, self.limit, self.model.byte_level
+        out = []
+        for piece in pieces:
+            ids = memo.get(piece)
+            if ids is None:
+                if byte_level:
+                    ids = self._piece(byte_encode(piece))
+                else:
+                    word = piece.strip(WHITESPACE)
+                    ids = self._piece(word) if word else []
+                if limit != 0:
+                    if limit is not None and len(memo) >= limit:
+                        memo.clear()
+                    memo[piece] = ids
+            out.append(ids)
+        return out
+
     def _bpe(self, piece: str) -> list[int]:
         """All places of the pair of lowest rank merge at once, again and again. An unknown character drops the piece."""
         parts = list(piece)
@@ -145,6 +164,72 @@ class Encoder:
         return "".join(tokens)
 
 
+#: Bytes of text that are split at once.
+BLOCK_BYTES = 4_000_000
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space of two and of three bytes, by its first byte.
+_WIDE = [c.encode() for c in WHITESPACE if ord(c) > 127]
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space."""
+    out = _ASCII_SPACE[data]
+    for lead in {w[0] for w in _WIDE}:
+        at = np.flatnonzero(data == lead)
+        for w in _WIDE:
+            if w[0] == lead and len(at):
+                here = at[at + len(w) <= len(data)]
+                for k in range(1, len(w)):
+                    here = here[data[here + k] == w[k]]
+                for k in range(len(w)):
+                    out[here + k] = True
+    return out
+
+
+def encode_array(encoder: Encoder, texts: pa.Array, bos: int | None = None, eos: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of an array of strings, null as empty and without ``bos`` and ``eos``.
+
+    Pieces are cut where white space follows something else, as views of the array's own bytes, and numbered by Arrow;
+    only distinct ones reach the encoder. Pieces of words keep the blanks before them here, which changes no id.
+    """
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    there = texts.is_valid().to_numpy(zero_copy_only=False)
+    chunks: list[np.ndarray] = []
+    sizes = np.zeros(len(texts), np.int64)
+    row = 0
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(bounds, bounds[row] + BLOCK_BYTES, "right")) - 1)
+        low, high = int(bounds[row]), int(bounds[last])
+        if high > low:
+            data = np.frombuffer(raw, np.uint8, high - low, low)
+            space = _spaces(data)
+            begins = np.zeros(len(data) + 1, bool)
+            begins[1:-1] = space[1:] & ~space[:-1]
+            begins[bounds[row : last + 1] - low] = True
+            begins[-1] = True
+            cuts = np.flatnonzero(begins)
+            pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), raw.slice(low, high - low)).dictionary_encode()
+            index, ids = pieces.indices.to_numpy(), encoder.many(pieces.dictionary.to_pylist())
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+            ends = np.concatenate([[0], np.cumsum(lengths[index])])
+            begin = (np.cumsum(lengths) - lengths)[index]
+            chunks.append(flat[np.repeat(begin - ends[:-1], lengths[index]) + np.arange(ends[-1])])
+            sizes[row:last] = np.diff(ends[np.searchsorted(cuts, bounds[row : last + 1] - low)])
+        row = last
+    ids = np.concatenate(chunks) if chunks else np.empty(0, np.int32)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    for extra, where in ((bos, offsets[:-1]), (eos, None)):
+        if extra is not None:
+            at = (offsets[:-1] if where is not None else offsets[1:])[there]
+            ids = np.insert(ids, at, extra)
+            offsets = offsets + np.concatenate([[0], np.cumsum(there)])
+    return ids, offsets
+
+
 def encode_column(df: DataFrame, model: Model, keep: list[str], text: str = "text", memo: int = 50_000, bos: int | None = None, eos: int | None = None) -> DataFrame:
     """The columns ``keep`` and ids (array<int>) of each text; ``bos`` and ``eos`` stand around it, also around none. Null text gives null.
 
@@ -155,20 +240,12 @@ def encode_column(df: DataFrame, model: Model, keep: list[str], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(cloudpickle.loads(packed.value), memo)
-        first, last = [bos] * (bos is not None), [eos] * (eos is not None)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for at in range(0, len(texts), 1000):
-                part = texts[at : at + 1000]
-                flat: list[int] = []
-                ends = [0]
-                for t in part:
-                    if t is not None:
-                        flat += first
-                        flat += encoder.encode(t)
-                        flat += last
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)), mask=pa.array([t is None for t in part], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(len(keep))), ids], [*keep, "ids"])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                texts = part.column(len(keep))
+                ids, offsets = encode_array(encoder, texts, bos, eos)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=texts.is_null())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], [*keep, "ids"])
 
     return df.select(*keep, text).mapInArrow(run, f"{fields}, ids array<int>")
