@@ -71,6 +71,17 @@ def map_text(df: DataFrame, change: Callable[[list], dict[str, pa.Array]], schem
     return df.mapInArrow(run, target)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores after it as it takes for no column of ``df`` to be named so, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def set_text(docs: DataFrame, text) -> DataFrame:
     """``docs`` with a new text and, where the column is there, its length in characters."""
     out = docs.withColumn("text", text)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import set_text, settled
+from loomtok.llm.common import fresh, set_text, settled
 
 SPACE = "[ \\t\\r\\f\\u000b\\u00a0]+"
 #: At most this many frequent lines (32 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_LINES = 1_000_000
 
-_K1, _K2, _H1, _H2, _POS, _DOC, _FIRST, _DROP, _LINES = (f"__line_dedup_{x}" for x in ("k1", "k2", "h1", "h2", "pos", "doc", "first", "drop", "lines"))
+_K1, _K2, _H1, _H2, _POS, _DOC, _FIRST, _DROP = "k1 k2 h1 h2 pos doc first drop".split()
 
 
 def normalised(line: Column) -> Column:
@@ -19,13 +19,14 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keys() -> tuple[Column, Column]:
     """A 128-bit key of (doc_id, text) names a row without moving its text."""
-    return docs.withColumns({_K1: F.xxhash64("doc_id", "text"), _K2: F.xxhash64(F.lit(1), F.col("doc_id"), F.col("text"))})
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), F.col("doc_id"), F.col("text"))
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    rows = _keyed(docs.select("doc_id", "text").where("text != ''")).select(_K1, _K2, F.col("doc_id").alias(_DOC), F.posexplode(F.split("text", "\n")).alias(_POS, "line"))
+    k1, k2 = _keys()
+    rows = docs.where("text != ''").select(k1.alias(_K1), k2.alias(_K2), F.col("doc_id").alias(_DOC), F.posexplode(F.split("text", "\n")).alias(_POS, "line"))
     rows = rows.withColumn("line", normalised(F.col("line"))).where("line != ''")
     return rows.select(_K1, _K2, _DOC, _POS, F.xxhash64("line").alias(_H1), F.xxhash64(F.lit(1), F.col("line")).alias(_H2))
 
@@ -36,6 +37,24 @@ def frequent_lines(docs: DataFrame, max_docs: int) -> DataFrame:
     return _exploded(docs).groupBy(_H1, _H2).agg(F.min(_DOC).alias(_FIRST), many.alias("many")).where("many").drop("many")
 
 
+def _without(docs: DataFrame, max_docs: int, keep_first: bool, dropped: str) -> DataFrame:
+    """``docs`` without frequent lines, and the number that went in a new column ``dropped``."""
+    frequent = settled(frequent_lines(docs, max_docs))
+    if frequent.count() <= BROADCAST_LINES:
+        frequent = F.broadcast(frequent)
+    found = _exploded(docs).join(frequent, [_H1, _H2])
+    if keep_first:
+        found = found.where(~F.col(_DOC).eqNullSafe(F.col(_FIRST)))
+    k1, k2, drop, split = fresh(docs, "__line_dedup_k1", "__line_dedup_k2", "__line_dedup_drop", "__line_dedup_lines")
+    drops = found.groupBy(F.col(_K1).alias(k1), F.col(_K2).alias(k2)).agg(F.collect_set(_POS).alias(drop))
+    out = docs.withColumns(dict(zip((k1, k2), _keys(), strict=True))).join(drops, [k1, k2], "left")
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(split), i)), "\n"))
+    out = set_text(out.withColumn(split, F.when(F.col(drop).isNotNull(), lines)), text)
+    return out.withColumn(dropped, F.coalesce(F.size(F.col(drop)), F.lit(0)).cast("bigint")).drop(k1, k2, drop, split)
+
+
 def line_dedup(docs: DataFrame, max_docs: int = 10, keep_first: bool = True) -> DataFrame:
     """``docs`` without lines that stand in more than ``max_docs`` distinct documents.
 
@@ -49,25 +68,13 @@ def line_dedup(docs: DataFrame, max_docs: int = 10, keep_first: bool = True) ->
     the line. Repeated rows count once and are treated alike. A line that a document repeats counts once, and all
     its places go. An empty table gives an empty table.
     """
-    frequent = settled(frequent_lines(docs, max_docs))
-    if frequent.count() <= BROADCAST_LINES:
-        frequent = F.broadcast(frequent)
-    found = _exploded(docs).join(frequent, [_H1, _H2])
-    if keep_first:
-        found = found.where(~F.col(_DOC).eqNullSafe(F.col(_FIRST)))
-    drops = found.groupBy(_K1, _K2).agg(F.collect_set(_POS).alias(_DROP))
-    out = _keyed(docs.drop("lines_dropped")).join(drops, [_K1, _K2], "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _DROP)
-    text = F.when(F.col(_DROP).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(_LINES), i)), "\n"))
-    out = set_text(out.withColumn(_LINES, F.when(F.col(_DROP).isNotNull(), lines)), text)
-    return out.withColumn("lines_dropped", F.coalesce(F.size(_DROP), F.lit(0)).cast("bigint")).drop(_K1, _K2, _DROP, _LINES)
+    return _without(docs.drop("lines_dropped"), max_docs, keep_first, "lines_dropped")
 
 
 def stage(docs: DataFrame, max_docs: int = 10) -> DataFrame:
-    """:func:`line_dedup` for the pipeline: documents of which no line is left, all being kept elsewhere, go."""
-    out = line_dedup(docs, max_docs)
-    return out.where("lines_dropped = 0 or trim(text) != ''").select(*docs.columns)
+    """:func:`line_dedup` for the pipeline: documents of which no line is left, all being kept elsewhere, go. Other columns stay as they are."""
+    (dropped,) = fresh(docs, "__line_dedup_dropped")
+    return _without(docs, max_docs, True, dropped).where((F.col(dropped) == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*\s*")
+#: A sentence ends with a new line, or with signs that white space follows; the blanks after it are its own.
+SENTENCE = re.compile(r"(?:[^.!?\n]+|[.!?]++(?=\S))*[.!?]*\s*")
 SCHEMA = "shard bigint, window_no int, doc_ids array<bigint>, starts array<bigint>, ends array<bigint>, n_tokens int, padding int, text string"
 
 

@@ -20,7 +20,7 @@ SPECIAL = b"0123456789@=+_/\\<>{}[]~^`"
 LONG = 16
 BLOCK_BYTES = 4_000_000
 SECRET_WORDS = frozenset("password passwd pwd secret token api_key apikey key auth bearer credential pass".split())
-_EDGE = "\"'`.,;:!?()[]{}<>"
+_EDGE = "\"'`.,;:!?()[]{}<>*#%&$|"
 _CODE = re.compile("[A-Z]{%d}" % LONG)
 _V4 = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$")
 _MAIL = re.compile(r"[^@\s]+@[^@\s]+\.[^@\s.]{2,}$")
@@ -130,7 +130,7 @@ def labelled_rows(seed: int = 7, sentences: int = 700) -> list[tuple[int, int, s
             if r.random() < 0.85:
                 part = entity() if r.random() < 0.55 else decoy()
                 if r.random() < 0.2:
-                    part[-1] = (part[-1][0] + r.choice(".,;:!?)"), part[-1][1])
+                    part[-1] = (part[-1][0] + r.choice([*".,;:!?)", r.choice("*#%&$") * 3]), part[-1][1])
                 row += part
             if r.random() < 0.3:
                 row.append((word() + r.choice([",", ".", "!!", ";"]), "O"))
@@ -315,12 +315,19 @@ def find(field: Field, data: np.ndarray, bounds: np.ndarray, cut: bool = True) -
     return starts[chosen[hit]] + lo, ends[chosen[hit]] + lo, labels[hit].astype(np.int64)
 
 
+#: Neighbouring tokens of at least this many bytes each are two numbers, not two parts of one.
+WHOLE = 12
+#: Signs that don't belong to what stands before them.
+_TRAILING = frozenset(bytes((c,)) for c in b".,;:!?\"'*#%&$|")
+
+
 def spans(raw: bytes, starts, ends, labels) -> list[tuple[int, int, int]]:
-    """Tokens as spans to mask: those of one phone or card number together, without quotes and stops at the edges, and without a secret's name."""
+    """Tokens as spans to mask: parts of one phone or card number together, without quotes and stops at the edges, and without a secret's name."""
     out: list[tuple[int, int, int]] = []
     for s, e, y in zip(starts, ends, labels, strict=True):
         s, e = int(s), int(e)
-        if LABELS[y] in ("PHONE", "CARD") and out and out[-1][2] == y and raw[out[-1][1] : s] == b" ":
+        whole = bool(out) and min(out[-1][1] - out[-1][0], e - s) >= WHOLE
+        if LABELS[y] in ("PHONE", "CARD") and out and out[-1][2] == y and raw[out[-1][1] : s] == b" " and not whole:
             out[-1] = (out[-1][0], e, y)
             continue
         if LABELS[y] == "SECRET":
@@ -329,7 +336,7 @@ def spans(raw: bytes, starts, ends, labels) -> list[tuple[int, int, int]]:
         out.append((s, e, y))
     cleaned = []
     for s, e, y in out:
-        while e > s + 1 and raw[e - 1 : e] in (b".", b",", b";", b":", b"!", b"?", b'"', b"'"):
+        while e > s + 1 and raw[e - 1 : e] in _TRAILING:
             e -= 1
         while e > s + 1 and raw[s : s + 1] in (b'"', b"'"):
             s += 1

@@ -8,13 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import settled
+from loomtok.llm.common import fresh, settled
 
 STOP_WORDS = (
     "the of and to a in that is was for on with he be by at der die und das den ein eine zu von mit ist nicht auf im dem des sich "
     "auch als de la el que y en los las un una se por con para no le les et une du dans est pour qui sur par au pas avec"
 ).split()
-_W, _N = "__quality_words", "__quality_n"
 
 
 def _band(value: Column, bad: Column, good: Column) -> Column:
@@ -22,77 +21,83 @@ def _band(value: Column, bad: Column, good: Column) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), -1).when(F.coalesce(good, F.lit(False)), 1).otherwise(0)
 
 
-def rules() -> dict[str, Column]:
-    """Each rule's vote as an expression over the columns text, words, their number and that of characters."""
-    text, words, count = F.col("text"), F.col(_W), F.col(_N)
-    n, chars = F.nullif(count, F.lit(0)), F.nullif(F.char_length("text"), F.lit(0))  # a share of nothing is null: the rule abstains
-    capitals = F.regexp_count(text, F.lit("[A-Z\\u00c0-\\u00d6\\u00d8-\\u00de]")) / chars
-    symbols = F.regexp_count(text, F.lit("[*#%&$|<>{}\\[\\]@~^=\\\\]")) / chars
+def rules(words: Column, count: Column) -> dict[str, Column]:
+    """Each rule's vote as an expression over the column text, its lower-case words and their number."""
+    text = F.col("text")
+    n, chars = F.nullif(count, F.lit(0)), F.when(count > 0, F.char_length("text"))  # a share of nothing is null: the rule abstains
+    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / chars
+    capitals, symbols = share("[A-Z\\u00c0-\\u00d6\\u00d8-\\u00de]"), share("[*#%&$|<>{}\\[\\]@~^=\\\\]")
+    other = share("[^\\p{L}\\p{N}]")
     shouts = F.regexp_count(text, F.lit("!")) / n
-    other = F.regexp_count(text, F.lit("[^\\p{L}]")) / chars
-    unique = F.size(F.array_distinct(words)) / n
+    unique = F.ln(F.size(F.array_distinct(words))) / F.nullif(F.ln(n), F.lit(0.0))  # falls little with the length of a text
+    less = F.greatest(count - 1, F.lit(0))
+    repeats = F.size(F.filter(F.zip_with(F.slice(words, 1, less), F.slice(words, 2, less), lambda a, b: a == b), lambda same: same)) / n
     stops = F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))) / n
     mean = chars / n
     return {
-        "length": _band(count, count < 2, count >= 50),
-        "capitals": _band(capitals, capitals > 0.3, capitals < 0.1),
+        "length": _band(count, count < 1, count >= 50),
+        "capitals": _band(capitals, (capitals > 0.3) & (chars >= 20), (capitals < 0.1) & (chars >= 20)),
         "symbols": _band(symbols, symbols > 0.03, symbols < 0.004),
-        "shouts": _band(shouts, shouts > 0.2, F.lit(False)),
+        "shouts": _band(shouts, shouts > 0.2, shouts == 0),
         "letters": _band(other, other > 0.35, other < 0.26),
-        "unique": _band(unique, (unique < 0.4) & (n >= 20), (unique > 0.6) & (n >= 20)),
+        "unique": _band(unique, (unique < 0.7) & (n >= 20), (unique > 0.8) & (n >= 20)),
+        "repeats": _band(repeats, (repeats > 0.2) & (n >= 5), (repeats < 0.05) & (n >= 5)),
         "stops": _band(stops, (stops < 0.04) & (n >= 20), stops > 0.12),
-        "word_length": _band(mean, (mean < 3) | (mean > 8.5), (mean > 4.5) & (mean < 7.2)),
+        "word_length": _band(mean, ((mean < 3) | (mean > 8.5)) & (n >= 5), (mean > 4.5) & (mean < 7.2)),
     }
 
 
-RULES = ("length", "capitals", "symbols", "shouts", "letters", "unique", "stops", "word_length")
+RULES = ("length", "capitals", "symbols", "shouts", "letters", "unique", "repeats", "stops", "word_length")
 
 
 def votes(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with column ``name``: an array of the rules' votes, -1, 0 or 1 each."""
-    made, text = rules(), F.trim(F.coalesce("text", F.lit("")))
-    out = docs.withColumn(_W, F.split(F.lower(text), "\\s+")).withColumn(_N, F.when(text == "", 0).otherwise(F.size(_W)))
-    return out.withColumn(name, F.array(*(made[r].cast("tinyint") for r in RULES))).drop(_W, _N)
+    words, count, _ = fresh(docs, "__quality_words", "__quality_n", name)
+    made, text = rules(F.col(words), F.col(count)), F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    out = docs.withColumn(words, F.split(F.lower(text), "\\s+")).withColumn(count, F.when(text == "", 0).otherwise(F.size(words)))
+    return out.withColumn(name, F.array(*(made[r].cast("tinyint") for r in RULES))).drop(words, count)
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """P(vote | class) for each rule, class (bad, good) and vote (-1, 0, 1), and the share of good documents."""
+    """P(vote | class, the rule votes) for each rule, class (bad, good) and vote (-1, 1), and the share of good documents."""
 
     prior: float
-    tables: np.ndarray  # rules x 2 x 3
+    tables: np.ndarray  # rules x 2 x 2
 
     def score(self, votes: Column) -> Column:
-        """Posterior probability of good quality, as an expression: no join and no Python row by row."""
+        """Posterior probability of good quality, as an expression: no join and no Python row by row. An abstention says nothing."""
         weights = np.log(self.tables[:, 1, :]) - np.log(self.tables[:, 0, :])
         logit = F.lit(float(np.log(self.prior) - np.log1p(-self.prior)))
         for i, w in enumerate(weights):
-            logit = logit + F.get(F.array(*map(F.lit, map(float, w))), F.get(votes, F.lit(i)).cast("int") + 1)
+            logit = logit + F.get(F.array(*map(F.lit, map(float, (w[0], 0, w[1])))), F.get(votes, F.lit(i)).cast("int") + 1)
         return 1 / (1 + F.exp(-logit))
 
     def accuracies(self) -> dict[str, float]:
-        """Of each rule: how often it is right when it votes."""
-        good, bad = self.prior, 1 - self.prior
-        right = good * self.tables[:, 1, 2] + bad * self.tables[:, 0, 0]
-        return dict(zip(RULES, right / (right + good * self.tables[:, 1, 0] + bad * self.tables[:, 0, 2]), strict=True))
+        """Of each rule: how often its vote is right, were its votes spread over the classes as the documents are."""
+        return dict(zip(RULES, (self.prior * self.tables[:, 1, 1] + (1 - self.prior) * self.tables[:, 0, 0]).tolist(), strict=True))
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> LabelModel:
-    """Expectation-maximisation over distinct vote patterns with their counts; it starts from the majority of votes.
+#: What is believed of a rule before any vote is seen: this accuracy, as firmly as after so many votes in each class.
+BELIEF, FIRMNESS = 0.8, 10.0
 
-    No pattern gives a model that believes each vote with 0.8. Ends when the posteriors move by less than 1e-9.
+
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+    """Expectation-maximisation over distinct vote patterns with their counts.
+
+    It starts from votes against a document only: junk of one kind looks well to the rules for other kinds. Ends when the posteriors move by less than 1e-9. No pattern gives a model of the beliefs alone.
     """
     n_rules = patterns.shape[1]
+    belief = np.array([[BELIEF, 1 - BELIEF], [1 - BELIEF, BELIEF]]) * FIRMNESS
     if not len(patterns):
-        table = np.tile(np.array([[0.4, 0.5, 0.1], [0.1, 0.5, 0.4]]), (n_rules, 1, 1))
-        return LabelModel(0.5, table)
-    post = 1 / (1 + np.exp(-(patterns.sum(1) + 0.5) * 1.5))
-    hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)  # patterns x rules x 3
+        return LabelModel(0.5, np.tile(belief / FIRMNESS, (n_rules, 1, 1)))
+    post = 1 / (1 + np.exp(2.5 * (patterns < 0).sum(1) - 3.0))
+    hot = np.stack([patterns == v for v in (-1, 1)], 2).astype(float)  # patterns x rules x 2
     for _ in range(rounds):
         weight = np.stack([counts * (1 - post), counts * post])  # 2 x patterns
-        tables = np.einsum("cp,prv->rcv", weight, hot) + smooth
+        tables = np.einsum("cp,prv->rcv", weight, hot) + belief
         tables /= tables.sum(2, keepdims=True)
-        prior = (weight[1].sum() + smooth) / (counts.sum() + 2 * smooth)
+        prior = (weight[1].sum() + 1) / (counts.sum() + 2)
         logs = np.einsum("prv,rcv->pc", hot, np.log(tables)) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
         if np.abs(new - post).max() < 1e-9:
@@ -102,7 +107,7 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: floa
 
 
 def fit(voted: DataFrame, name: str) -> LabelModel:
-    """EM over the whole table. Only distinct patterns, 3 ** 8 at most, come to the driver."""
+    """EM over the whole table. Only distinct patterns, 3 ** 9 at most, come to the driver."""
     rows = voted.groupBy(name).count().orderBy(name).collect()
     return em(np.array([r[0] for r in rows], dtype=int).reshape(-1, len(RULES)), np.array([r[1] for r in rows], dtype=float))
 
@@ -111,7 +116,7 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, votes, posterior, keep) for each row of ``docs``.
 
     ``votes`` has a sign for each rule, in the order of ``RULES``: + good, - bad, 0 abstains. ``keep`` is
-    posterior >= threshold. Null or empty text has 0 words: the rule on length votes against it, all others abstain.
+    posterior >= threshold. Null, empty or blank text has 0 words: the rule on length votes against it, all others abstain.
     Repeated rows count as often as they stand there and get the same result; a null doc_id stays null. Other
     columns are left out. An empty table gives an empty table.
     """
@@ -123,6 +128,6 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def stage(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that :func:`quality` keeps, with all their columns; the votes are computed twice, nothing is shuffled."""
-    name = "__quality_votes"
+    (name,) = fresh(docs, "__quality_votes")
     model = fit(votes(docs.select("text"), name).select(name), name)
     return votes(docs, name).where(model.score(F.col(name)) >= threshold).select(*docs.columns)

@@ -317,18 +317,23 @@ class Transducer:
                 raw.append(int(text[3:5], 16))
                 continue
             if raw:
-                out.append(raw.decode("utf-8", "replace"))
+                out.append(_utf8(raw))
                 raw.clear()
             if sort != CONTROL:
                 out.append(" ⁇ " if sort == UNKNOWN else text)
         if raw:
-            out.append(raw.decode("utf-8", "replace"))
+            out.append(_utf8(raw))
         text = "".join(out)
         if self.model.escape:
             text = text.replace(BLANK, " ")
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
+def _utf8(raw: bytearray) -> str:
+    text = raw.decode("utf-8", "surrogateescape")
+    return text if text.isascii() else re.sub("[\udc80-\udcff]", "\ufffd", text)
+
+
 def _on_worker(packed: bytes) -> tuple[Transducer, dict]:
     """The transducer and its memo of this Python worker, which outlive a task."""
     home = sys.modules.setdefault("_loomtok_worker", types.ModuleType("_loomtok_worker")).__dict__
