@@ -44,7 +44,9 @@ def byte_encode(piece: Column | str) -> Column:
 
 def byte_decode(piece: Column | str) -> Column:
     """The inverse of :func:`byte_encode`."""
-    return F.decode(F.encode(F.translate(_col(piece), ENCODED, LATIN), "ISO-8859-1"), "UTF-8")
+    some = [k for k, c in enumerate(LATIN) if c != "\0"]  # translate drops what it maps to NUL
+    latin = F.translate(_col(piece), "".join(ENCODED[k] for k in some), "".join(LATIN[k] for k in some))
+    return F.decode(F.encode(F.replace(latin, F.lit(ENCODED[LATIN.index("\0")]), F.lit("\0")), "ISO-8859-1"), "UTF-8")
 
 
 def code_points(text: Column | str) -> Column:
