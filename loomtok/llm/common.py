@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtok.sources.shared import checkpointed as settled
+from loomtok.sources.shared import ensure_folder as shared_folder
+
+__all__ = ["fresh", "set_text", "settled", "shared_folder", "spread", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read lazily so that column pruning reaches the scan."""
@@ -25,52 +26,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of reliable checkpoints: ``spark.checkpoint.dir`` or what was set on the context.
-
-    Where nothing is set, a local master gets a temporary folder of its own; a cluster is refused, since a folder
-    of one machine would be lost with it.
-    """
-    context = spark.sparkContext
-    if there := context.getCheckpointDir():
-        return there
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="loomtok-")
-    context.setCheckpointDir(folder)
-    return folder
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def map_text(df: DataFrame, change: Callable[[list], dict[str, pa.Array]], schema: str | None = None, column: str = "text") -> DataFrame:
-    """Replaces columns of ``df`` in Arrow batches, or, with ``schema``, returns only the columns that are named there.
-
-    ``change`` gets a batch's values of ``column`` and returns arrays by column name. All other columns pass by
-    position, so that names in the input can't clash with names in here.
-    """
-    names = None if schema is None else [f.split()[0] for f in schema.split(",")]
-    target = schema if schema is not None else df.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = change(batch.column(batch.schema.get_field_index(column)).to_pylist())
-            if names is not None:
-                cols = [new[n] if n in new else batch.column(batch.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays(cols, names)
-            else:
-                cols = [new.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)]
-                yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
-
-    return df.mapInArrow(run, target)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores after it as it takes for no column of ``df`` to be named so, in any case."""
     taken, out = {c.lower() for c in df.columns}, []
