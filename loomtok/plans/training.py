@@ -28,7 +28,9 @@ class Trained:
 
 
 def _words(pieces: DataFrame, symbols) -> list[tuple[list[str], int]]:
-    return [(r.syms, r.freq) for r in pieces.select(symbols.alias("syms"), "freq").toLocalIterator(prefetchPartitions=True)]
+    """At most ``driver_pieces`` rows, in one job."""
+    table = pieces.select(symbols.alias("syms"), "freq").toArrow()
+    return list(zip(table.column("syms").to_pylist(), table.column("freq").to_pylist(), strict=True))
 
 
 def learn(pieces: DataFrame, config: TrainConfig) -> Trained:
@@ -37,18 +39,19 @@ def learn(pieces: DataFrame, config: TrainConfig) -> Trained:
     The driver learns from the reduced table as long as that has at most ``driver_pieces`` rows, or rounds of
     DataFrame operations do; the result is the same.
     """
-    if pieces.isEmpty():
-        raise ValueError("nothing was counted")
     specials = config.specials()
     if config.top_k > 0:
         pieces = counts.top_pieces(pieces, config.top_k)
     kept = counts.frequent(pieces, config.min_freq)
+    distinct = kept.count()
+    if not distinct and pieces.isEmpty():
+        raise ValueError("nothing was counted")
     if config.trainer is TrainerKind.unigram:
         room = max(0, config.vocab_size - len(specials))
         found = unigram.learn(pieces, room, config.min_freq, config.max_token_length, config.unigram_em_iters, config.unigram_seed_multiplier, config.unigram_prune_ratio)
         model = [(t, s) for t, s in found if t not in specials]
         return Trained([*specials, *(t for t, _ in model)], [], [-100.0] * len(specials) + [s for _, s in model])
-    small = config.backend == "driver" or (config.backend == "auto" and kept.count() <= config.driver_pieces)
+    small = config.backend == "driver" or (config.backend == "auto" and distinct <= config.driver_pieces)
     if config.trainer is TrainerKind.wordpiece:
         symbols = T.continued(T.code_points("piece"), config.wordpiece_continuing_prefix)
         base = sorted(r[0] for r in kept.select(F.explode(symbols)).distinct().collect())
