@@ -51,11 +51,15 @@ RULES = ("length", "capitals", "symbols", "shouts", "letters", "unique", "repeat
 
 
 def votes(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with column ``name``: an array of the rules' votes, -1, 0 or 1 each."""
+    """``docs`` with column ``name``: an array of the rules' votes, -1, 0 or 1 each.
+
+    The votes come out of a generator of one row, which the optimizer doesn't take a filter through: a filter on them
+    would else be moved below the split into words, which each rule in it would then do again.
+    """
     words, count, _ = fresh(docs, "__quality_words", "__quality_n", name)
     made, text = rules(F.col(words), F.col(count)), F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))
     out = docs.withColumn(words, F.split(F.lower(text), "\\s+")).withColumn(count, F.when(text == "", 0).otherwise(F.size(words)))
-    return out.withColumn(name, F.array(*(made[r].cast("tinyint") for r in RULES))).drop(words, count)
+    return out.withColumn(name, F.explode(F.array(F.array(*(made[r].cast("tinyint") for r in RULES))))).drop(words, count)
 
 
 @dataclass(frozen=True)
