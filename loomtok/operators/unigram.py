@@ -82,16 +82,25 @@ def token_counts(words: DataFrame, scores: dict[str, float]) -> dict[str, int]:
     return {r.token: r.n for r in rows}
 
 
+def seed(pieces: DataFrame, target: int, min_freq: int, longest: int, seed_multiplier: int) -> DataFrame:
+    """(token, freq, required): every character, however rare, and the most frequent longer substrings, ties in binary order.
+
+    There are ``seed_multiplier`` times ``target`` in all, or 32 besides the characters if that is more.
+    """
+    required = counts.seed_counts(pieces, 1, min_freq)
+    n = required.count()
+    more = max(max(target, n) * seed_multiplier, n + 32) - n
+    others = counts.seed_counts(pieces, longest, min_freq).where("not required").orderBy(F.desc("freq"), "token").limit(max(0, more))
+    return required.unionByName(others)
+
+
 def learn(pieces: DataFrame, target: int, min_freq: int, longest: int, rounds: int, seed_multiplier: int, prune_ratio: float) -> list[tuple[str, float]]:
     """(token, score) of the model, required characters first. ``pieces`` (piece, freq) is read once per round: cache or checkpoint it."""
-    seeds = counts.seed_counts(pieces, longest, min_freq)
-    required = [Token(r.token, r.freq + 1e-6, True) for r in seeds.where("required").collect()]
-    if not required:
+    tokens = [Token(r.token, r.freq + 1e-6, r.required) for r in seed(pieces, target, min_freq, longest, seed_multiplier).collect()]
+    if not tokens:
         raise ValueError("no words survived min_freq")
-    target = max(target, len(required))
-    more = max(target * seed_multiplier, len(required) + 32) - len(required)
-    others = seeds.where("not required").orderBy(F.desc("freq"), "token").limit(max(0, more)).collect()
-    tokens = sorted(required, key=order) + [Token(r.token, r.freq + 1e-6, False) for r in others]
+    target = max(target, sum(t.required for t in tokens))
+    tokens.sort(key=order)
     normalise(tokens)
     words = counts.frequent(pieces, min_freq)
     for k in range(rounds):

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from loomtok.functions import text as T
 from loomtok.functions.chars import BYTE_CHARS, RE2_CLASS
-from loomtok.operators import bpe, counts
+from loomtok.operators import bpe, counts, unigram
 from loomtok.operators.encode import Model, encode_column
-from loomtok.plans.config import TrainerKind
+from loomtok.plans.config import TrainConfig, TrainerKind
 from loomtok.plans.dataset import in_shards, placed
 from loomtok.plans.tokenizer import offsets
 from loomtok.sources import readers
@@ -179,6 +179,34 @@ def unigram_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("token", F.round(F.log(F.col("weight") / F.sum("weight").over(Window.partitionBy())), 8).alias("logp"))
 
 
+UNIGRAM_CONFIG = TrainConfig(trainer=TrainerKind.unigram)
+
+_ALL_SEEDS = f"""SELECT token, CAST(sum(freq) AS BIGINT) AS freq, length(token) = 1 AS required FROM (
+SELECT substr(piece, i, k) AS token, freq FROM (SELECT piece, freq, i, unnest(range(1, least(16, length(piece) - i + 1) + 1)) AS k
+FROM (SELECT piece, freq, unnest(range(1, length(piece) + 1)) AS i FROM ({_WORD_COUNTS}) WHERE freq >= 2))) GROUP BY token"""
+
+
+@query(_ALL_SEEDS)
+def unigram_all_seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every character and substring that the trainer counts by default."""
+    return counts.seed_counts(_words(spark, sf_dir), UNIGRAM_CONFIG.max_token_length, UNIGRAM_CONFIG.min_freq)
+
+
+@query(f"""WITH s AS MATERIALIZED ({_ALL_SEEDS}), r AS (SELECT count(*) AS n FROM s WHERE required),
+t AS (SELECT token, freq FROM (SELECT *, row_number() OVER (PARTITION BY required ORDER BY freq DESC, encode(token)) AS k FROM s), r WHERE required OR k <= greatest(greatest(49999, n) * 4, n + 32) - n)
+SELECT token, round(ln((freq + 1e-6) / (sum(freq) OVER () + count(*) OVER () * 1e-6)), 8) AS logp FROM t""")
+def unigram_seed_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed table that the trainer starts from by default, with all characters, and its normalised log-probabilities."""
+    from loomtok.sources.shared import checkpointed
+
+    c = UNIGRAM_CONFIG
+    words = checkpointed(counts.frequent(_words(spark, sf_dir), c.min_freq))
+    seeds = unigram.seed(words, c.vocab_size - len(c.specials()), c.min_freq, c.max_token_length, c.unigram_seed_multiplier)
+    every = Window.partitionBy()  # the seed table has the size of a vocabulary, whatever the data
+    total = F.sum("freq").over(every) + F.count("*").over(every) * F.lit(1e-6)  # of integers, so in any order the same
+    return seeds.select("token", F.round(F.log((F.col("freq") + F.lit(1e-6)) / total), 8).alias("logp"))
+
+
 # ---- merges and encoding --------------------------------------------------------------------------------------------
 
 ROUNDS = 6
