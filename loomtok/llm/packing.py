@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtok.llm.common import settled
+
 #: A sentence ends with a new line, or with signs that white space follows; the blanks after it are its own.
 SENTENCE = re.compile(r"(?:[^.!?\n]+|[.!?]++(?=\S))*[.!?]*\s*")
 SCHEMA = "shard bigint, window_no int, doc_ids array<bigint>, starts array<bigint>, ends array<bigint>, n_tokens int, padding int, text string"
@@ -99,20 +103,56 @@ def pack(docs: list[tuple[int | None, str]], size: int, penalty: int) -> list[tu
     return out
 
 
+def first_ids(rows: DataFrame, shard_docs: int) -> np.ndarray:
+    """The doc_id of every ``shard_docs``-th row in order of doc_id: where shards begin. One number a shard comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(seen, seen + n)), b.column(0)], ["part", "k", "doc_id"])
+            seen += n
+
+    ids = rows.where("doc_id is not null").select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    placed = settled(ids.mapInArrow(run, "part bigint, k bigint, doc_id bigint"))
+    parts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy("first").collect()
+    if not parts:
+        return np.empty(0, np.int64)
+    before = dict(zip((r.part for r in parts), accumulate((r.n for r in parts), initial=0)))  # noqa: B905
+    known = placed.sparkSession.createDataFrame(list(before.items()), "part bigint, before bigint")
+    starts = placed.join(F.broadcast(known), "part").where((F.col("before") + F.col("k")) % shard_docs == 0).select("doc_id").distinct()
+    return np.sort(starts.toArrow().column(0).to_numpy())
+
+
+def in_shards(rows: DataFrame, shard_docs: int) -> DataFrame:
+    """(shard, doc_id, text): each row with the number of the shard that its doc_id falls in; -1 without a doc_id."""
+    held = rows.sparkSession.sparkContext.broadcast(first_ids(rows, shard_docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc = b.column(0)
+            shard = np.searchsorted(held.value, doc.fill_null(0).to_numpy(zero_copy_only=False), "right") - 1
+            shard[doc.is_null().to_numpy(zero_copy_only=False)] = -1
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), doc, b.column(1)], ["shard", "doc_id", "text"])
+
+    return rows.mapInArrow(run, "shard bigint, doc_id bigint, text string")
+
+
 def packing(docs: DataFrame, size: int = 2048, penalty: int = 64, shard_docs: int = 1024) -> DataFrame:
     """(shard, window_no, doc_ids, starts, ends, n_tokens, padding, text): windows of ``size`` tokens over the documents in order of doc_id.
 
     A window may end after a document or, for ``penalty``, after a sentence; cuts are the best over a whole shard
     (:func:`best_cuts`). ``starts`` and ``ends`` are the characters of each document in the window. A token is a run
     of what isn't white space. A sentence of over ``size`` tokens is the only thing that is cut elsewhere, every
-    ``size`` tokens. A shard is the documents of ``shard_docs`` successive doc_ids, whatever the cluster, so that shards
-    are packed alone and in parallel; only a shard's last windows pay for that.
+    ``size`` tokens. A shard is ``shard_docs`` successive documents in order of doc_id, however far apart the doc_ids are and
+    whatever the cluster, so that shards are packed alone and in parallel; only a shard's last windows pay for that.
+    Shards are numbered from 0; rows that repeat a doc_id stay in one.
 
     Null, empty and blank text gives nothing. Rows without a doc_id make a shard -1 of their own, in order of text.
     Rows that repeat a doc_id are packed one after the other, in order of text. Every other text is in the windows
     whole, in order. Other columns are left out. An empty table gives an empty table.
     """
-    rows = docs.select(F.coalesce(F.floor(F.col("doc_id") / shard_docs), F.lit(-1)).cast("bigint").alias("shard"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("trim(text) != ''")
+    rows = in_shards(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("trim(text) != ''"), shard_docs)
     rows = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
 
     def emit(shard: int, held: list) -> pa.RecordBatch:
