@@ -249,3 +249,19 @@ def encode_column(df: DataFrame, model: Model, keep: list[str], text: str = "tex
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], [*keep, "ids"])
 
     return df.select(*keep, text).mapInArrow(run, f"{fields}, ids array<int>")
+
+
+def decode_column(df: DataFrame, model: Model, keep: list[str], ids: str = "ids") -> DataFrame:
+    """The columns ``keep`` and decoded (string), the text of each row's ids. Null ids give null."""
+    packed = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(cloudpickle.loads(packed.value))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [None if x is None else encoder.decode(x) for x in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "decoded"])
+
+    return df.select(*keep, ids).mapInArrow(run, f"{fields}, decoded string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtok.functions import text as T
 from loomtok.functions.chars import BYTE_CHARS, RE2_CLASS
 from loomtok.operators import bpe, counts, unigram
-from loomtok.operators.encode import Model, encode_column
+from loomtok.operators.encode import Model, decode_column, encode_column
 from loomtok.plans.config import TrainConfig, TrainerKind
 from loomtok.plans.dataset import in_shards, placed
 from loomtok.plans.tokenizer import offsets
@@ -369,6 +369,24 @@ def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "benchmark").select("item_id", T.byte_decode(T.byte_encode("text")).alias("decoded"))
 
 
+@query(f"SELECT doc_id, array_to_string(list_concat([256], {_BYTES}, [257]), ' ') AS ids FROM documents")
+def bos_eos_wrap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of whole documents between a first and a last one."""
+    ids = _byte_ids(spark, sf_dir, "documents", ["doc_id"])
+    return ids.select("doc_id", F.array_join(T.wrap("ids", 256, 257).cast("array<string>"), " ").alias("ids"))
+
+
+#: A byte-level model with a few merges: all text has ids, of one or more bytes each.
+BYTE_BPE_MODEL = Model("BPE", {t: i for i, t in enumerate([*BYTE_CHARS, *("".join(m) for m in MERGES)])}, MERGES)
+
+
+@query("SELECT doc_id, text AS decoded FROM documents")
+def decode_round_trip_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents to ids and back to text."""
+    ids = encode_column(_spread(_docs(spark, sf_dir).select("doc_id", "text")), BYTE_BPE_MODEL, ["doc_id"])
+    return decode_column(ids, BYTE_BPE_MODEL, ["doc_id"])
+
+
 @query(f"SELECT conv_id, turn, {encoded('text')} AS text FROM conversations")
 def byte_encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "conversations").select("conv_id", "turn", T.byte_encode("text").alias("text"))
