@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtok.operators import counts
+from loomtok.sources.shared import drop, settled
 
 OPEN, CLOSE = "\ue000", "\ue001"
 
@@ -110,25 +111,26 @@ def accept(pairs: list[tuple[str, str, int]], complete: bool) -> list[tuple[str,
     return taken
 
 
-def learn_distributed(words: DataFrame, symbols: set[str], target: int, min_pair_freq: int, batch: int = 256, checkpoint=None) -> list[tuple[str, str]]:
+def learn_distributed(words: DataFrame, symbols: set[str], target: int, min_pair_freq: int, batch: int = 256) -> list[tuple[str, str]]:
     """As :func:`learn_on_driver`, over words (syms, freq) that stay distributed.
 
     Each round counts pairs, brings the ``batch`` most frequent to the driver, merges as many as :func:`accept` allows
-    in one pass of string replacements, and writes the words to the checkpoint folder.
+    in one pass of string replacements, and writes the words to the shared folder in place of the last round's.
     """
     known = set(symbols)
-    now = wrapped(words.where(F.size("syms") > 1))
+    now, held = wrapped(words.where(F.size("syms") > 1)), None
     merges: list[tuple[str, str]] = []
     while len(known) < target:
         top = counts.pair_counts(now.select(unwrapped().alias("syms"), "freq")).where(F.col("freq") >= max(1, min_pair_freq)).orderBy(F.desc("freq"), "l", "r").limit(batch).collect()
         taken = accept([tuple(r) for r in top], len(top) < batch)[: target - len(known)]
         if not taken:
-            return merges
+            break
         word = F.col("word")
         for left, right in taken:
             word = F.replace(word, F.lit(f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"), F.lit(f"{OPEN}{left}{right}{CLOSE}"))
             merges.append((left, right))
             known.add(left + right)
         now = now.select(word.alias("word"), "freq").where(F.contains("word", F.lit(CLOSE + OPEN)))
-        now = checkpoint(now) if checkpoint else now.checkpoint(eager=True)
+        now = held = settled(now, instead_of=held)
+    drop(held)
     return merges

@@ -49,13 +49,13 @@ def symbol_counts(words: DataFrame, symbols: str = "syms") -> DataFrame:
     return words.select(F.explode(symbols).alias("symbol"), "freq").groupBy("symbol").agg(F.sum("freq").alias("freq"))
 
 
-def pair_scores(words: DataFrame, symbols: str = "syms") -> DataFrame:
-    """(l, r, freq, score): how much more often two symbols meet than their own frequencies say."""
+def pair_scores(words: DataFrame, symbols: str = "syms", frequencies: bool = False) -> DataFrame:
+    """(l, r, freq, score): how much more often two symbols meet than their own frequencies say, which l_freq and r_freq give if asked for."""
     one = symbol_counts(words, symbols)
     left = one.select(F.col("symbol").alias("l"), F.col("freq").alias("l_freq"))
     right = one.select(F.col("symbol").alias("r"), F.col("freq").alias("r_freq"))
     score = F.col("freq").cast("double") / (F.col("l_freq").cast("double") * F.col("r_freq").cast("double"))
-    return pair_counts(words, symbols).join(left, "l").join(right, "r").select("l", "r", "freq", score.alias("score"))
+    return pair_counts(words, symbols).join(left, "l").join(right, "r").select("l", "r", "freq", score.alias("score"), *["l_freq", "r_freq"] * frequencies)
 
 
 def seed_counts(counts: DataFrame, longest: int, min_freq: int = 1) -> DataFrame:

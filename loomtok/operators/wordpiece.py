@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtok.operators import counts
+from loomtok.operators import bpe, counts
+from loomtok.sources.shared import drop, settled
 
 
 def joined(left: str, right: str, prefix: str) -> str:
     return left + (right[len(prefix) :] if prefix and right.startswith(prefix) else right)
 
 
-def apply(symbols: list[str], left: str, right: str, new: str) -> list[str]:
+def apply(symbols: list, left, right, new) -> list:
     out, i, n = [], 0, len(symbols)
     while i < n:
         if i + 1 < n and symbols[i] == left and symbols[i + 1] == right:
@@ -27,63 +27,156 @@ def apply(symbols: list[str], left: str, right: str, new: str) -> list[str]:
 
 
 def learn_on_driver(words: list[tuple[list[str], int]], symbols: list[str], target: int, min_pair_freq: int, prefix: str) -> list[str]:
-    """New symbols in the order in which they are made. Ties go to the more frequent pair, then to binary order."""
+    """New symbols in the order in which they are made. Ties go to the more frequent pair, then to binary order.
+
+    Frequencies are kept up to date from the words that change; the scores of all pairs are one vector operation a merge.
+    """
     known = dict.fromkeys(symbols)
     words = [(list(s), f) for s, f in words]
-    one: dict[str, int] = defaultdict(int)
-    two: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    ids: dict[str, int] = {}
+    names: list[str] = []
+    places: dict[tuple[int, int], int] = {}
+    where: list[set[int]] = []
+    one, two, left, right = (np.zeros(1024, np.int64) for _ in range(4))  # by symbol, and three by pair
+
+    def grown(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n < len(x) else np.concatenate([x, np.zeros(len(x), x.dtype)])
 
-    def add(k: int, syms: list[str], f: int) -> None:
+    def symbol(name: str) -> int:
+        nonlocal one
+        if (i := ids.get(name)) is None:
+            i = ids[name] = len(names)
+            names.append(name)
+            one = grown(one, i)
+        return i
+
+    def pair(p: tuple[int, int]) -> int:
+        nonlocal two, left, right
+        if (i := places.get(p)) is None:
+            i = places[p] = len(where)
+            where.append(set())
+            two, left, right = grown(two, i), grown(left, i), grown(right, i)
+            left[i], right[i] = p
+        return i
+
+    def add(k: int, syms: list[int], f: int) -> None:
         for s in syms:
             one[s] += f
         for p in zip(syms, syms[1:]):  # noqa: B905
-            two[p] += f
+            i = pair(p)
+            two[i] += f
             if f > 0:
-                where[p].add(k)
-            elif not two[p]:
-                del two[p]
+                where[i].add(k)
 
+    coded = []
     for k, (syms, f) in enumerate(words):
-        add(k, syms, f)
+        coded.append(([symbol(s) for s in syms], f))
+        add(k, *coded[-1])
     made: list[str] = []
     while len(known) < target:
-        best = min(((-(f / (float(one[p[0]]) * float(one[p[1]]))), -f, p) for p, f in two.items() if f >= min_pair_freq and f > 0), default=None)
-        if best is None:
+        n = len(where)
+        live = np.flatnonzero(two[:n] >= max(1, min_pair_freq))
+        if not len(live):
             break
-        left, right = best[2]
-        new = joined(left, right, prefix)
-        if new not in known:
-            known[new] = None
-            made.append(new)
-        for k in sorted(where.pop(best[2])):
-            syms, f = words[k]
-            changed = apply(syms, left, right, new)
+        score = two[live] / (one[left[live]].astype(float) * one[right[live]].astype(float))
+        best = live[score == score.max()]
+        best = best[two[best] == two[best].max()]
+        i = min(best.tolist(), key=lambda i: (names[left[i]], names[right[i]]))
+        a, b = int(left[i]), int(right[i])
+        text = joined(names[a], names[b], prefix)
+        if text not in known:
+            known[text] = None
+            made.append(text)
+        new = symbol(text)
+        for k in sorted(where[i]):
+            syms, f = coded[k]
+            changed = apply(syms, a, b, new)
             if len(changed) < len(syms):
                 add(k, syms, -f)
                 add(k, changed, f)
-                words[k] = (changed, f)
+                coded[k] = (changed, f)
+        where[i] = set()
     return made
 
 
-def learn_distributed(words: DataFrame, symbols: list[str], target: int, min_pair_freq: int, prefix: str, checkpoint=None) -> list[str]:
-    """As :func:`learn_on_driver`, a round of DataFrame counting for each merge; words (syms, freq) stay distributed."""
+def independent(top: list[tuple], known: dict[str, None], prefix: str) -> list[tuple]:
+    """The longest run of leading pairs (l, r, ...) that have no symbol in common and make new symbols, each another one; the first is always there."""
+    used: set[str] = set()
+    out = []
+    for row in top:
+        left, right = row[0], row[1]
+        new = joined(left, right, prefix)
+        alone = left == right or new in known or new in used
+        if out and (alone or left in used or right in used):
+            break
+        out.append(row)
+        if alone:
+            break
+        used |= {left, right, new}
+    return out
+
+
+def accept(rows: list[tuple], bounds: dict[int, float]) -> int:
+    """How many of the leading :func:`independent` pairs (l, r, freq, score) can be merged in one round as if one by one.
+
+    A merge leaves pairs of other symbols as they are. ``bounds`` has for each pair the most that any pair with one of its
+    symbols can score after it is merged; a later pair is next as long as it scores more than all of these.
+    """
+    limit = bounds.get(0, 0.0)
+    for k in range(1, len(rows)):
+        if rows[k][3] <= limit:
+            return k
+        limit = max(limit, bounds.get(k, 0.0))
+    return len(rows)
+
+
+def _bounds(scored: DataFrame, rows: list[tuple]) -> dict[int, float]:
+    """What :func:`accept` asks for: of all pairs with a symbol of these, by the first of them that it has one of.
+
+    Of a symbol that occurs n times and takes part in m merges, n - m stay and m become part of the new one. A pair's
+    own frequency never grows, so it scores at most that over the least number that each side can have.
+    """
+    spark = scored.sparkSession
+    touched = spark.createDataFrame([(s, k, row[2]) for k, row in enumerate(rows) for s in row[:2]], "symbol string, k int, m bigint")
+    themselves = spark.createDataFrame([row[:2] for row in rows], "l string, r string")
+    sides = [F.broadcast(touched.select(F.col("symbol").alias(c), F.col("k").alias(f"{c}_k"), F.col("m").alias(f"{c}_m"))) for c in ("l", "r")]  # two rows a merge
+    near = scored.join(sides[0], "l", "left").join(sides[1], "r", "left").where("l_k is not null or r_k is not null").join(F.broadcast(themselves), ["l", "r"], "left_anti")
+
+    def least(c: str):
+        n, m = F.col(f"{c}_freq"), F.col(f"{c}_m")
+        return F.when(m.isNull(), n).when(n > m, F.least(n - m, m)).otherwise(m).cast("double")
+
+    found = near.groupBy(F.least("l_k", "r_k").alias("k")).agg(F.max(F.col("freq").cast("double") / (least("l") * least("r"))).alias("most"))
+    return {r.k: r.most for r in found.collect()}
+
+
+def learn_distributed(words: DataFrame, symbols: list[str], target: int, min_pair_freq: int, prefix: str, batch: int = 256) -> list[str]:
+    """As :func:`learn_on_driver`, over words (syms, freq) that stay distributed.
+
+    Each round scores all pairs, brings the ``batch`` best to the driver, and merges as many of these in one pass of string
+    replacements as :func:`accept` proves to be next.
+    """
     known = dict.fromkeys(symbols)
     made: list[str] = []
-    now = words
+    now, held = bpe.wrapped(words), None
     while len(known) < target:
-        best = counts.pair_scores(now).where(F.col("freq") >= max(1, min_pair_freq)).orderBy(F.desc("score"), F.desc("freq"), "l", "r").first()
-        if best is None:
+        scored = settled(counts.pair_scores(now.select(bpe.unwrapped().alias("syms"), "freq"), frequencies=True).where(F.col("freq") >= max(1, min_pair_freq)))
+        top = [tuple(r) for r in scored.orderBy(F.desc("score"), F.desc("freq"), "l", "r").limit(batch).select("l", "r", "freq", "score").collect()]
+        taken = independent(top, known, prefix)
+        if len(taken) > 1:
+            taken = taken[: accept(taken, _bounds(scored, taken))]
+        drop(scored)
+        if not taken:
             break
-        new = joined(best.l, best.r, prefix)
-        if new not in known:
-            known[new] = None
-            made.append(new)
-        step = F.aggregate(
-            "syms",
-            F.array().cast("array<string>"),
-            lambda acc, s: F.when((F.try_element_at(acc, F.lit(-1)) == best.l) & (s == best.r), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(new)))).otherwise(F.concat(acc, F.array(s))),
-        )
-        now = now.select(F.when(F.array_contains("syms", best.l) & F.array_contains("syms", best.r), F.when(F.size("syms") > 1, step).otherwise(F.col("syms"))).otherwise(F.col("syms")).alias("syms"), "freq")
-        now = checkpoint(now) if checkpoint else now.checkpoint(eager=True)
+        word = F.col("word")
+        for left, right, *_ in taken:
+            if len(known) == target:
+                break
+            new = joined(left, right, prefix)
+            word = F.replace(word, F.lit(f"{bpe.OPEN}{left}{bpe.CLOSE}{bpe.OPEN}{right}{bpe.CLOSE}"), F.lit(f"{bpe.OPEN}{new}{bpe.CLOSE}"))
+            if new not in known:
+                known[new] = None
+                made.append(new)
+        now = held = settled(now.select(word.alias("word"), "freq"), instead_of=held)
+    drop(held)
     return made

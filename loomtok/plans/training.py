@@ -17,7 +17,6 @@ from loomtok.operators import bpe, counts, unigram, wordpiece
 from loomtok.plans import model_file
 from loomtok.plans.config import TrainConfig, TrainerKind
 from loomtok.sources import inputs, readers
-from loomtok.sources.shared import checkpointed
 
 
 @dataclass
@@ -59,7 +58,7 @@ def learn(pieces: DataFrame, config: TrainConfig) -> Trained:
         if small:
             made = wordpiece.learn_on_driver(_words(kept, symbols), base, target, config.min_pair_freq, config.wordpiece_continuing_prefix)
         else:
-            made = wordpiece.learn_distributed(kept.select(symbols.alias("syms"), "freq"), base, target, config.min_pair_freq, config.wordpiece_continuing_prefix, checkpointed)
+            made = wordpiece.learn_distributed(kept.select(symbols.alias("syms"), "freq"), base, target, config.min_pair_freq, config.wordpiece_continuing_prefix)
         tokens, merges = [*base, *made], []
     else:
         symbols = T.code_points("piece")
@@ -68,7 +67,7 @@ def learn(pieces: DataFrame, config: TrainConfig) -> Trained:
         if small:
             merges = bpe.learn_on_driver(_words(kept, symbols), set(base), target, config.min_pair_freq)
         else:
-            merges = bpe.learn_distributed(kept.select(symbols.alias("syms"), "freq"), set(base), target, config.min_pair_freq, checkpoint=checkpointed)
+            merges = bpe.learn_distributed(kept.select(symbols.alias("syms"), "freq"), set(base), target, config.min_pair_freq)
         tokens = [*base, *("".join(m) for m in merges)]
     tokens = list(dict.fromkeys([*specials, *tokens]))
     return Trained(tokens, merges, [-1.0] * len(tokens))

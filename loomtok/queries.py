@@ -15,6 +15,7 @@ from loomtok.plans.config import TrainConfig, TrainerKind
 from loomtok.plans.dataset import in_shards, placed
 from loomtok.plans.tokenizer import offsets
 from loomtok.sources import readers
+from loomtok.sources.shared import settled, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,13 +47,7 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(counts.prepared(_docs(spark, sf_dir).select("text"), max_chars=0))
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """A scan of a few files on as many cores as there are; one of many files as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spread(counts.prepared(_docs(spark, sf_dir).select("text"), max_chars=0))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +79,7 @@ def json_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     text = F.concat("event_type", F.lit(' "'), F.coalesce("props", F.lit("")), F.lit('"'))
-    lines = _spread(_docs(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), text.alias("text"))).alias("line")))
+    lines = spread(_docs(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), text.alias("text"))).alias("line")))
 
     def run(batches):
         for b in batches:
@@ -197,10 +192,8 @@ t AS (SELECT token, freq FROM (SELECT *, row_number() OVER (PARTITION BY require
 SELECT token, round(ln((freq + 1e-6) / (sum(freq) OVER () + count(*) OVER () * 1e-6)), 8) AS logp FROM t""")
 def unigram_seed_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seed table that the trainer starts from by default, with all characters, and its normalised log-probabilities."""
-    from loomtok.sources.shared import checkpointed
-
     c = UNIGRAM_CONFIG
-    words = checkpointed(counts.frequent(_words(spark, sf_dir), c.min_freq))
+    words = settled(counts.frequent(_words(spark, sf_dir), c.min_freq))
     seeds = unigram.seed(words, c.vocab_size - len(c.specials()), c.min_freq, c.max_token_length, c.unigram_seed_multiplier)
     every = Window.partitionBy()  # the seed table has the size of a vocabulary, whatever the data
     total = F.sum("freq").over(every) + F.count("*").over(every) * F.lit(1e-6)  # of integers, so in any order the same
@@ -227,11 +220,9 @@ def _merge_sql(rounds: int) -> str:
 @query(_merge_sql(ROUNDS))
 def bpe_first_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first merges that training learns from words of at least two occurrences."""
-    from loomtok.sources.shared import checkpointed
-
-    words = checkpointed(counts.frequent(_words(spark, sf_dir), 2).select(T.code_points("piece").alias("syms"), "freq"))
+    words = settled(counts.frequent(_words(spark, sf_dir), 2).select(T.code_points("piece").alias("syms"), "freq"))
     base = {r[0] for r in words.select(F.explode("syms")).distinct().collect()}
-    merges = bpe.learn_distributed(words, base, len(base) + ROUNDS, 1, checkpoint=checkpointed)
+    merges = bpe.learn_distributed(words, base, len(base) + ROUNDS, 1)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left string, right string")
 
 
@@ -256,7 +247,7 @@ FROM (SELECT doc_id FROM documents) LEFT JOIN d USING (doc_id) LEFT JOIN u USING
 @query(_bpe_sql())
 def bpe_encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under a small fixed model; a word with a character that it hasn't gives nothing."""
-    docs = _spread(_docs(spark, sf_dir).select("doc_id", "text"))
+    docs = spread(_docs(spark, sf_dir).select("doc_id", "text"))
     ids = encode_column(docs, BPE_MODEL, ["doc_id"])
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -383,7 +374,7 @@ BYTE_BPE_MODEL = Model("BPE", {t: i for i, t in enumerate([*BYTE_CHARS, *("".joi
 @query("SELECT doc_id, text AS decoded FROM documents")
 def decode_round_trip_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents to ids and back to text."""
-    ids = encode_column(_spread(_docs(spark, sf_dir).select("doc_id", "text")), BYTE_BPE_MODEL, ["doc_id"])
+    ids = encode_column(spread(_docs(spark, sf_dir).select("doc_id", "text")), BYTE_BPE_MODEL, ["doc_id"])
     return decode_column(ids, BYTE_BPE_MODEL, ["doc_id"])
 
 

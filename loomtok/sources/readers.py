@@ -18,6 +18,7 @@ from loomtok.sources.inputs import InputSource, detect
 
 SCHEMA = "file_idx int, source string, part bigint, pos bigint, text string"
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
+_COLON = re.compile(r"\s*:\s*")
 _ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 
 
@@ -71,11 +72,11 @@ def line_text(line: str, field: str) -> str | None:
         if isinstance(obj, dict):
             value = obj.get(field)
             return unescape_lone(value) if isinstance(value, str) else None
-    except ValueError:
+    except (ValueError, RecursionError):  # the scan below keeps no stack
         pass
     at = 0
     while m := _STRING.search(line, at):
-        after = re.compile(r"\s*:\s*").match(line, m.end())
+        after = _COLON.match(line, m.end())
         if not after:
             at = m.end()
             continue
@@ -92,7 +93,10 @@ def unescape_lone(text: str) -> str:
 
 def document_texts(data: str, field: str) -> list[str]:
     """Of one JSON document, an object or an array of objects: every string under ``field``, repeated keys included."""
-    pairs_of: list = json.loads(data, object_pairs_hook=lambda pairs: pairs if pairs else [("", None)])
+    try:
+        pairs_of: list = json.loads(data, object_pairs_hook=lambda pairs: pairs if pairs else [("", None)])
+    except RecursionError as e:
+        raise ValueError("a JSON document is nested too deeply") from e
     is_object = lambda v: isinstance(v, list) and bool(v) and isinstance(v[0], tuple)
     if not isinstance(pairs_of, list):
         raise ValueError("a JSON document must be an object or an array of objects")

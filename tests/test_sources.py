@@ -4,6 +4,7 @@ import gzip
 import http.server
 import json
 import lzma
+import random
 import threading
 
 import pytest
@@ -114,3 +115,18 @@ def test_env(tmp_path):
     c = with_env(TrainConfig(), read_env(str(path)))
     assert (c.trainer, c.vocab_size, c.data_glob, c.min_freq, c.special_tokens, c.resume) == (TrainerKind.wordpiece, 77, "x y", 2, ["<a>", "<b>"], False)
     assert read_env(str(tmp_path / "none")) == {}
+
+
+def test_lines_of_any_kind_end_no_job(spark, tmp_path):
+    deep = '{"a":' + "[" * 100_000
+    assert readers.line_text(deep, "text") is None
+    assert readers.line_text('{"a":' + "[" * 50_000 + "]" * 50_000 + ', "text": "after"}', "text") == "after"
+    assert readers.line_text('{"text": "kept", "n": ' + "9" * 10_000 + "}", "text") == "kept"
+    with pytest.raises(ValueError):
+        readers.document_texts("[" * 100_000, "text")
+    r = random.Random(1)
+    for _ in range(3000):
+        line = "".join(r.choice(['"text"', '"', ":", "{", "}", "[", "]", ",", "\\", "\\u12", "\\ud800", "x", "1", " ", "null", "\x00", "é"]) for _ in range(r.randint(0, 30)))
+        assert readers.line_text(line, "text") is None or isinstance(readers.line_text(line, "text"), str)
+    (tmp_path / "a.jsonl").write_text(deep + '\n{"text": "next"}\n')
+    assert read(spark, tmp_path / "a.jsonl") == ["next"]

@@ -10,7 +10,6 @@ from loomtok.operators import bpe, wordpiece
 from loomtok.plans import model_file
 from loomtok.plans.config import TrainConfig, TrainerKind
 from loomtok.plans.training import learn
-from loomtok.sources.shared import checkpointed
 
 
 def naive_bpe(words, base, target, least):
@@ -75,11 +74,27 @@ def test_distributed_learners_equal_the_driver(spark):
     words = [*random_words(3, "abcd", 30), (list("aaa"), 4), (list("aaaa"), 3), (list("abab"), 5)]
     df = spark.createDataFrame(words, "syms array<string>, freq bigint")
     base = {c for s, _ in words for c in s}
-    assert bpe.learn_distributed(df, base, len(base) + 8, 1, checkpoint=checkpointed) == bpe.learn_on_driver(words, base, len(base) + 8, 1)
+    assert bpe.learn_distributed(df, base, len(base) + 8, 1) == bpe.learn_on_driver(words, base, len(base) + 8, 1)
     pieces = [([c if i == 0 else "##" + c for i, c in enumerate(s)], f) for s, f in words]
     base = sorted({c for s, _ in pieces for c in s})
     df = spark.createDataFrame(pieces, "syms array<string>, freq bigint")
-    assert wordpiece.learn_distributed(df, base, len(base) + 4, 1, "##", checkpointed) == wordpiece.learn_on_driver(pieces, base, len(base) + 4, 1, "##")
+    assert wordpiece.learn_distributed(df, base, len(base) + 4, 1, "##") == wordpiece.learn_on_driver(pieces, base, len(base) + 4, 1, "##")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_distributed_wordpiece_equals_the_driver(spark, seed):
+    words = [([c if i == 0 else "##" + c for i, c in enumerate(s)], f) for s, f in random_words(seed, "abcdefghijklmnopqrst"[: 4 + 3 * seed], 60)]
+    base = sorted({c for s, _ in words for c in s})
+    df = spark.createDataFrame(words, "syms array<string>, freq bigint")
+    assert wordpiece.learn_distributed(df, base, len(base) + 25, 1 + seed % 2, "##") == wordpiece.learn_on_driver(words, base, len(base) + 25, 1 + seed % 2, "##")
+
+
+def test_wordpiece_takes_several_merges_a_round():
+    rows = [("a", "##b", 3, 0.5), ("c", "##d", 3, 0.4), ("e", "##b", 3, 0.3)]
+    assert [r[:2] for r in wordpiece.independent(rows, {}, "##")] == [("a", "##b"), ("c", "##d")]
+    assert len(wordpiece.independent(rows, {"ab": None}, "##")) == 1 and len(wordpiece.independent(rows, {"cd": None}, "##")) == 1
+    assert len(wordpiece.independent([("##a", "##a", 3, 0.5), *rows], {}, "##")) == 1
+    assert wordpiece.accept(rows[:2], {0: 0.39}) == 2 and wordpiece.accept(rows[:2], {0: 0.4}) == 1 and wordpiece.accept(rows[:1], {}) == 1
 
 
 def test_accept_takes_only_what_one_by_one_would_merge():
