@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtok.sources.shared import checkpointed as settled
 from loomtok.sources.shared import ensure_folder as shared_folder
+from loomtok.sources.shared import delete, scratch, settled, spread
 
-__all__ = ["fresh", "set_text", "settled", "shared_folder", "spread", "table"]
-
+__all__ = ["delete", "fresh", "on_worker", "scratch", "set_text", "settled", "shared_folder", "spread", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus, read lazily so that column pruning reaches the scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table of the corpus, or some of its columns, with work for all cores even if it is one small file."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows.select(*columns) if columns else rows)
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` with at least one partition per core.
 
-    Meant for plain scans ahead of CPU-heavy Python steps. A large table has more splits than there are cores and
-    passes untouched; only a table of a few files is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+def on_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a Python worker and kept there from task to task."""
+    home = sys.modules.setdefault("_loomtok_worker", types.ModuleType("_loomtok_worker")).__dict__
+    if name not in home:
+        home[name] = make()
+    return home[name]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

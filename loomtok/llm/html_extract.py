@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import spread
-
 #: What isn't text: comments, declarations, and elements whose body is code. An unclosed one reaches to the end.
 MARKUP = re.compile(r"(<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template)\b.*?(?:</(?:script|style|noscript|template)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z))", re.S | re.I)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
@@ -113,7 +111,7 @@ def fit(labelled: DataFrame, max_pages: int = 2000) -> dict[str, int]:
 
 
 def best_region(scores: list[int]) -> tuple[int, int]:
-    """(start, end) of the contiguous run with the greatest sum, in one scan; of equals the first, and of those the shortest. (0, 0) if none is over 0."""
+    """(start, end) of the contiguous run with the greatest sum, in one scan; of equals the first to end, and of those the shortest. (0, 0) if none is over 0."""
     best, found, total, start = 0, (0, 0), 0, 0
     for k, s in enumerate(scores):
         if total <= 0:
@@ -161,7 +159,7 @@ def html_extraction(pages: DataFrame, labelled: DataFrame | None = None) -> Data
     with the greatest sum, found by one scan of the whole page.
 
     Null html gives null text; an empty page, or one without words, an empty text. A null page_id or url stays null.
-    Repeated rows give the same. Of runs of equal sums the first is taken. Other columns are left out. An empty table
+    Repeated rows give the same. Of runs of equal sums the one that ends first is taken, and of those the shortest. Other columns are left out. An empty table
     gives an empty table.
     """
     weights = fit(labelled if labelled is not None else labelled_table(pages.sparkSession))
@@ -170,5 +168,5 @@ def html_extraction(pages: DataFrame, labelled: DataFrame | None = None) -> Data
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([extract(p, weights) for p in batch.column(2).to_pylist()], pa.string())], ["page_id", "url", "text"])
 
-    rows = spread(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     return rows.mapInArrow(run, "page_id bigint, url string, text string")

@@ -12,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import spread
-
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "KEY", "SECRET")
 #: A token with none of these bytes, and without a run of LONG capitals, is plain.
 SPECIAL = b"0123456789@=+_/\\<>{}[]~^`"
@@ -376,13 +374,15 @@ def _masked(field: Field, column: pa.Array) -> tuple[pa.Array, list[int]]:
 
 
 def _masker(field: Field, schema_names: list[str] | None):
+    at = 1 if schema_names is None else [n.lower() for n in schema_names].index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, counts = _masked(field, batch.column(batch.schema.get_field_index("text")))
+            text, counts = _masked(field, batch.column(at))
             if schema_names is None:
                 yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(counts, pa.int32())], ["doc_id", "text", "n_masked"])
             else:
-                yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(i) for i, n in enumerate(schema_names)], schema_names)
+                yield pa.RecordBatch.from_arrays([text if i == at else batch.column(i) for i in range(len(schema_names))], schema_names)
 
     return run
 
@@ -398,12 +398,12 @@ def pii(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     an empty table.
     """
     field = fit(labelled if labelled is not None else labelled_table(docs.sparkSession))
-    rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(_masker(field, None), "doc_id bigint, text string, n_masked int")
 
 
 def stage(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with masked texts, and ``n_chars`` to match."""
     field = fit(labelled if labelled is not None else labelled_table(docs.sparkSession))
-    out = spread(docs).mapInArrow(_masker(field, list(docs.columns)), docs.schema)
+    out = docs.mapInArrow(_masker(field, list(docs.columns)), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -13,43 +13,43 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "text", "lines_dropped")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.html_extraction(table(spark, sf_dir, "pages"))
+    return html_extract.html_extraction(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_fst.sentencepiece(table(spark, sf_dir, "documents"))
+    return sentencepiece_fst.sentencepiece(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packing(table(spark, sf_dir, "documents"))
+    return packing.packing(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiff.tiff_pages(tiff.rendered(table(spark, sf_dir, "embeddings")), "vec_id", "media", values=True)
+    return tiff.tiff_pages(tiff.rendered(table(spark, sf_dir, "embeddings", "vec_id", "embedding")), "vec_id", "media", values=True)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.chat_format(chat.typed(table(spark, sf_dir, "conversations")))
+    return chat.as_text(chat.chat_format(chat.typed(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.token_counts(table(spark, sf_dir, "documents"))
+    return token_count.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii(table(spark, sf_dir, "documents"))
+    return pii.pii(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_dups(table(spark, sf_dir, "documents"))
+    return simhash.near_dups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Query] = {

@@ -5,8 +5,6 @@ from __future__ import annotations
 import pickle
 import re
 import struct
-import sys
-import types
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import spread
+from loomtok.llm.common import on_worker
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -334,15 +332,6 @@ def _utf8(raw: bytearray) -> str:
     return text if text.isascii() else re.sub("[\udc80-\udcff]", "\ufffd", text)
 
 
-def _on_worker(packed: bytes) -> tuple[Transducer, dict]:
-    """The transducer and its memo of this Python worker, which outlive a task."""
-    home = sys.modules.setdefault("_loomtok_worker", types.ModuleType("_loomtok_worker")).__dict__
-    key = f"fst {zlib.crc32(packed)} {len(packed)}"
-    if key not in home:
-        home[key] = (pickle.loads(packed), {})
-    return home[key]
-
-
 def sentencepiece(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """(doc_id, ids, n_pieces, decoded): piece ids of each text, and the text that they give back.
 
@@ -357,7 +346,8 @@ def sentencepiece(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame
     machine = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Transducer(read_model(model_path))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst, memo = _on_worker(machine.value)
+        packed = machine.value
+        fst, memo = on_worker(f"fst {zlib.crc32(packed)} {len(packed)}", lambda: (pickle.loads(packed), {}))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, max(1, len(texts)), 1000):
@@ -378,5 +368,5 @@ def sentencepiece(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)), mask=pa.array([t is None for t in part], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), lists, pa.array(sizes, pa.int32()), pa.array(back, pa.string())], ["doc_id", "ids", "n_pieces", "decoded"])
 
-    rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>, n_pieces int, decoded string")

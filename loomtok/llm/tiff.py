@@ -12,15 +12,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import spread
+from loomtok.llm.common import fresh
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
-#: Bytes and struct letter of each field type.
-FIELD = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d")}
-#: An image of more bytes than this is refused, so that a forged header can't take a worker's memory.
-MOST_BYTES = 1 << 28
-SCHEMA = "page_no int, width int, height int, samples int, bits int, sample_format int, compression string, predictor int, tiled boolean, pixels {}, error string"
+#: Bytes and struct letter of the field types of unsigned whole numbers, which sizes, places and codes must have.
+FIELD = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
+#: The tags that are read; others are passed over.
+TAGS = frozenset((256, 257, 258, 259, 266, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339))
+#: At most this many bytes come out of one byte of each coding, so that a forged header is found before memory is taken.
+GROWTH = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: The default of the most bytes of samples in a page, within what a row of a table can hold.
+MOST_BYTES = 1 << 30
+#: Bytes of pixels after which a batch is handed on.
+BATCH_BYTES = 1 << 26
+#: Each byte with its bits in reverse.
+REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+NAMED = (("page_no", "int"), ("width", "int"), ("height", "int"), ("samples", "int"), ("bits", "int"), ("sample_format", "int"), ("compression", "string"), ("predictor", "int"), ("tiled", "boolean"), ("pixels", ""), ("error", "string"))
 
 
 # ---- codecs ---------------------------------------------------------------------------------------------------------
@@ -151,45 +159,82 @@ def decompress(data: bytes, kind: int, size: int) -> bytes:
 
 @dataclass
 class Page:
-    width: int = 0
-    height: int = 0
-    samples: int = 1
-    bits: int = 1
-    sample_format: int = 1
-    compression: int = NONE
-    predictor: int = 1
+    width: int | None = 0
+    height: int | None = 0
+    samples: int | None = 1
+    bits: int | None = 1
+    sample_format: int | None = 1
+    compression: int | None = NONE
+    predictor: int | None = 1
     tiled: bool = False
     pixels: np.ndarray | None = None  # height x width x samples
     error: str | None = None
 
 
 def directories(data: bytes) -> Iterator[dict[int, tuple]]:
-    """The fields of each image directory by tag. A chain that comes back to itself, or leaves the file, is an error."""
+    """The fields of each image directory by tag, and the byte order under -1.
+
+    Only known tags of unsigned whole numbers with at least one value are there; of others ``None`` stands for the
+    value. A chain that comes back to itself or leaves the file is an error, and so are fields that together have more
+    bytes than the file, since such share their bytes.
+    """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
+    at, seen, left = struct.unpack_from(order + "I", data, 4)[0], set(), len(data)
     while at:
         if at in seen:
             raise ValueError("the chain of directories is a loop")
         seen.add(at)
-        fields: dict[int, tuple] = {-1: (order,)}
+        fields: dict[int, tuple | None] = {-1: (order,)}
         (count,) = struct.unpack_from(order + "H", data, at)
+        left -= 12 * count
         for k in range(count):
             tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind not in FIELD:
+            if tag not in TAGS or tag in fields:
+                continue
+            if kind not in FIELD or not n:
+                fields[tag] = None
                 continue
             size, letter = FIELD[kind]
             place = at + 2 + 12 * k + 8
             if size * n > 4:
                 (place,) = struct.unpack_from(order + "I", data, place)
+                left -= size * n
             if place + size * n > len(data):
                 raise ValueError("a field leaves the file")
-            fields[tag] = struct.unpack_from(f"{order}{n}s" if letter == "s" else order + letter * n if len(letter) > 1 else f"{order}{n}{letter}", data, place)
+            if left < 0:
+                raise ValueError("fields share their bytes")
+            fields[tag] = struct.unpack_from(f"{order}{n}{letter}", data, place)
         yield fields
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
 
 
+def whole(fields: dict[int, tuple | None], tag: int, default: int | None = None) -> int:
+    """The first value of a tag; an error if it is no unsigned whole number, or missing without a default."""
+    if tag not in fields:
+        if default is None:
+            raise ValueError(f"tag {tag} is missing")
+        return default
+    values = fields[tag]
+    if values is None:
+        raise ValueError(f"tag {tag} is no whole number")
+    return values[0]
+
+
+def header(fields: dict[int, tuple | None]) -> Page:
+    """What a directory says, as far as it can be read: for pages with errors."""
+
+    def get(tag: int, default: int | None) -> int | None:
+        try:
+            return whole(fields, tag, default)
+        except ValueError:
+            return None
+
+    coding = get(259, NONE)
+    return Page(get(256, 0), get(257, 0), get(277, 1), get(258, 1), get(339, 1), coding, get(317, 1), 322 in fields)
+
+
 def _unpredict(block: np.ndarray, raw: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str, kind: str) -> np.ndarray:
     """Samples of a block, rows x width x samples, in the machine's order."""
     size = bits // 8
@@ -207,65 +252,83 @@ def _unpredict(block: np.ndarray, raw: bytes, rows: int, width: int, samples: in
     return block
 
 
-def read_page(data: bytes, fields: dict[int, tuple]) -> Page:
-    get = lambda tag, default=0: fields.get(tag, (default,))[0]
-    order, width, height, samples, bits = get(-1), get(256), get(257), get(277, 1), get(258, 1)
+def read_page(data: bytes, fields: dict[int, tuple | None], most_bytes: int = MOST_BYTES) -> Page:
+    get = lambda tag, default=None: whole(fields, tag, default)
+    order, width, height, samples, bits = fields[-1][0], get(256), get(257), get(277, 1), get(258, 1)
     page = Page(width, height, samples, bits, get(339, 1), get(259, NONE), get(317, 1), 322 in fields)
-    if not (0 < width and 0 < height and 0 < samples) or width * height * samples * max(8, bits) // 8 > MOST_BYTES:
-        raise ValueError("the size is zero or too large")
-    if get(284, 1) != 1 or len(set(fields.get(258, (1,)))) > 1 or get(266, 1) != 1:
-        raise ValueError("planes apart, mixed depths or reversed bits aren't supported")
+    if not (width and height and samples):
+        raise ValueError("the size is zero")
+    if len(set(fields.get(258, (1,)))) > 1:
+        raise ValueError("mixed depths aren't supported")
+    if page.compression not in NAMES:
+        raise ValueError(f"compression {page.compression} isn't supported")
     kind = {1: "u", 2: "i", 3: "f", 4: "u"}.get(page.sample_format, "u")
     if bits not in ((16, 32, 64) if kind == "f" else (1, 2, 4, 8, 16, 32, 64)):
         raise ValueError(f"{bits} bits aren't supported")
+    fill, apart = get(266, 1), get(284, 1)
+    if fill not in (1, 2) or apart not in (1, 2):
+        raise ValueError("an unknown order of bits or of samples")
+    layers, mixed = (samples, 1) if apart == 2 else (1, samples)  # planes apart are layers of one sample
     if page.tiled:
-        block_w, block_h, offsets, sizes = get(322), get(323), fields[324], fields[325]
+        block_w, block_h, offsets, sizes = get(322), get(323), fields.get(324), fields.get(325)
     else:
-        block_w, block_h, offsets, sizes = width, min(get(278, height) or height, height), fields[273], fields.get(279, (len(data),))
+        block_w, block_h, offsets, sizes = width, min(get(278, height) or height, height), fields.get(273), fields.get(279, (len(data),))
     if not block_w or not block_h:
         raise ValueError("blocks have no size")
-    across = -(-width // block_w)
-    if len(offsets) < across * -(-height // block_h) or len(sizes) < len(offsets):
+    across, down = -(-width // block_w), -(-height // block_h)
+    count = layers * across * down
+    if offsets is None or sizes is None or len(offsets) < count or len(sizes) < count:
         raise ValueError("blocks are missing")
-    line = -(-block_w * samples * bits // 8)
+    line = -(-block_w * mixed * bits // 8)
+    if width * height * samples * max(8, bits) // 8 > most_bytes or block_h * line > most_bytes:
+        raise ValueError("the size is over the limit")
+    full = sum(min(block_h, height - k // across % down * block_h) if not page.tiled else block_h for k in range(count)) * line
+    if full > GROWTH[page.compression] * sum(max(0, min(n, len(data) - at)) for at, n in zip(offsets[:count], sizes[:count], strict=True)):
+        raise ValueError("blocks are too short for the size")
     out = np.zeros((height, width, samples), np.dtype(f"{kind}{max(1, bits // 8)}"))
-    for k in range(across * -(-height // block_h)):
-        top, left = k // across * block_h, k % across * block_w
+    for k in range(count):
+        layer, place = divmod(k, across * down)
+        top, left = place // across * block_h, place % across * block_w
         rows = block_h if page.tiled else min(block_h, height - top)
         part = data[offsets[k] : offsets[k] + sizes[k]]
-        raw = decompress(part, page.compression, rows * line)[: rows * line]
+        raw = decompress(part.translate(REVERSED) if fill == 2 else part, page.compression, rows * line)[: rows * line]
         if len(raw) < rows * line:
             raise ValueError("a block is too short")
         if bits < 8:
             if page.predictor != 1:
                 raise ValueError("predictors need whole bytes")
-            flat = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : block_w * samples * bits]
-            block = np.packbits(np.pad(flat.reshape(rows, -1, bits), ((0, 0), (0, 0), (8 - bits, 0))), axis=2).reshape(rows, block_w, samples)
+            flat = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : block_w * mixed * bits]
+            block = np.packbits(np.pad(flat.reshape(rows, -1, bits), ((0, 0), (0, 0), (8 - bits, 0))), axis=2).reshape(rows, block_w, mixed)
         else:
-            plain = np.frombuffer(raw, f"{order}{kind}{bits // 8}").astype(out.dtype).reshape(rows, block_w, samples) if page.predictor != 3 else out[:0]
-            block = _unpredict(plain, raw, rows, block_w, samples, bits, page.predictor, order, kind)
+            plain = np.frombuffer(raw, f"{order}{kind}{bits // 8}").astype(out.dtype).reshape(rows, block_w, mixed) if page.predictor != 3 else out[:0]
+            block = _unpredict(plain, raw, rows, block_w, mixed, bits, page.predictor, order, kind)
         h, w = min(rows, height - top), min(block_w, width - left)
-        out[top : top + h, left : left + w] = block[:h, :w]
+        out[top : top + h, left : left + w, layer : layer + mixed] = block[:h, :w]
     page.pixels = out
     return page
 
 
-def read(data: bytes) -> list[Page]:
-    """All pages of a file. One that can't be read has an error instead of pixels; so has a file, as its last page."""
-    pages = []
+def pages(data: bytes, most_bytes: int = MOST_BYTES) -> Iterator[Page]:
+    """All pages of a file, one by one. One that can't be read has an error instead of pixels; so has a file, as its last page."""
     walk = directories(data)
     while True:
         try:
             fields = next(walk, None)
-        except (ValueError, struct.error) as e:
-            return [*pages, Page(error=str(e) or "the file is cut off")]
+        except Exception as e:  # noqa: BLE001 - the bytes come from anywhere, and whatever they raise is the page's error
+            yield Page(error=str(e) or "the file is cut off")
+            return
         if fields is None:
-            return pages
+            return
         try:
-            pages.append(read_page(data, fields))
-        except (ValueError, KeyError, zlib.error, struct.error) as e:
-            get = lambda tag, d=0: fields.get(tag, (d,))[0]  # noqa: B023, E731
-            pages.append(Page(get(256), get(257), get(277, 1), get(258, 1), get(339, 1), get(259, 1), get(317, 1), 322 in fields, None, str(e)))
+            page = read_page(data, fields, most_bytes)
+        except Exception as e:  # noqa: BLE001
+            page = header(fields)
+            page.error = str(e) or type(e).__name__
+        yield page
+
+
+def read(data: bytes, most_bytes: int = MOST_BYTES) -> list[Page]:
+    return list(pages(data, most_bytes))
 
 
 # ---- writing, for tables without media and for tests ----------------------------------------------------------------
@@ -323,36 +386,53 @@ def write(pages: list[tuple[np.ndarray, int, int, tuple[int, int] | int]], order
 # ---- the operator ---------------------------------------------------------------------------------------------------
 
 
-def tiff_pages(media: DataFrame, key: str, column: str, values: bool = False) -> DataFrame:
+def _small(n: int | None) -> int | None:
+    return n if n is not None and n < 1 << 31 else None
+
+
+def tiff_pages(media: DataFrame, key: str, column: str, values: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``key`` and one row per page of the TIFF files in ``column``: page_no from 0, sizes, coding, pixels and error.
 
     ``pixels`` is binary, row by row, samples side by side, in the sample's own type with low bytes first (samples of
-    less than a byte take one each); with ``values`` it is array<double>. Strips and tiles, both byte orders, no
-    compression, PackBits, LZW and deflate, and predictors 1, 2 and 3 are read.
+    less than a byte take one each); with ``values`` it is array<double>. Strips and tiles, samples together and in
+    planes apart, both orders of bytes and of bits, no compression, PackBits, LZW and deflate, and predictors 1, 2 and 3
+    are read.
 
     Null media gives no row, nor does a file without pages. What can't be read gives a row with ``error`` and null pixels:
-    an unsupported or broken page in its place, a broken file as its last page; empty media is a broken file. A null
-    key stays null, and repeated rows give repeated pages. Other columns are left out. An empty table gives an empty table.
+    an unsupported or broken page in its place, a broken file as its last page; empty media is a broken file. A page
+    of more than ``most_bytes`` of samples is such a page, and so is one whose blocks have too few bytes for its size.
+    Bytes of any kind never end the job; what a broken page says of itself is null where it is no number that fits. A null
+    key stays null, and repeated rows give repeated pages. If ``key`` is named like one of the columns here, that one gets
+    an underscore. Other columns are left out. An empty table gives an empty table.
     """
     kind = media.select(key).schema[0].dataType.simpleString()
-    schema = f"{key} {kind}, " + SCHEMA.format("array<double>" if values else "binary")
-    arrow = [("page_no", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("sample_format", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.list_(pa.float64()) if values else pa.binary()), ("error", pa.string())]
+    names = fresh(media.select(key), *(n for n, _ in NAMED))
+    sorts = ["array<double>" if n == "pixels" and values else "binary" if n == "pixels" else t for n, t in NAMED]
+    schema = f"`{key}` {kind}, " + ", ".join(f"`{n}` {t}" for n, t in zip(names, sorts, strict=True))
+    types = [{"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}.get(t, pa.list_(pa.float64())) for t in sorts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(keys: pa.Array, rows: list, owner: list[int]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [key, *names])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows, owner = batch.slice(at, 256), [], []
-                for k, data in enumerate(part.column(1).to_pylist()):
-                    if data is None:
-                        continue
-                    for n, p in enumerate(read(data)):
-                        pixels = None if p.pixels is None else p.pixels.ravel().astype(float) if values else p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
-                        rows.append((n, p.width, p.height, p.samples, p.bits, p.sample_format, NAMES.get(p.compression, str(p.compression)), p.predictor, p.tiled, pixels, p.error))
-                        owner.append(k)
-                cols = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(cols, arrow, strict=True))], [key, *(n for n, _ in arrow)])
+            rows, owner, held = [], [], 0
+            for k in range(batch.num_rows):
+                if (data := batch.column(1)[k].as_py()) is None:
+                    continue
+                for n, p in enumerate(pages(data, most_bytes)):
+                    pixels = None if p.pixels is None else p.pixels.ravel().astype(float) if values else p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
+                    coding = None if p.compression is None else NAMES.get(p.compression, str(p.compression))
+                    rows.append((n, *map(_small, (p.width, p.height, p.samples, p.bits, p.sample_format)), coding, _small(p.predictor), p.tiled, pixels, p.error))
+                    owner.append(k)
+                    held += 0 if pixels is None else pixels.nbytes if values else len(pixels)
+                    if held > BATCH_BYTES:
+                        yield emit(batch.column(0), rows, owner)
+                        rows, owner, held = [], [], 0
+            yield emit(batch.column(0), rows, owner)
 
-    return spread(media.select(key, column)).mapInArrow(run, schema)
+    return media.select(key, column).mapInArrow(run, schema)
 
 
 def rendered(vectors: DataFrame) -> DataFrame:
@@ -376,7 +456,7 @@ def rendered(vectors: DataFrame) -> DataFrame:
                 media.append(write([(small, PACKBITS, 1, 3), (small, LZW, 2, 5), (large, LZW, 2, (16, 16)), (large, DEFLATE, 2, 4), (raw, DEFLATE, 3, (16, 16))], "<>"[(vec_id or 0) % 2]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["vec_id", "media"])
 
-    return spread(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")).mapInArrow(run, "vec_id bigint, media binary")
+    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, "vec_id bigint, media binary")
 
 
 ORACLE = """

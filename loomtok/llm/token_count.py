@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import spread
-
 #: The split of the public byte-level vocabularies that the default parameters name.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Characters of a chunk, and of what two neighbours share.
+CHUNK, OVERLAP = 16_384, 256
 
 
 class Counter:
@@ -102,7 +102,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def token_counts(docs: DataFrame, ranks_path: str = DEFAULT_RANKS, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
+def token_counts(docs: DataFrame, ranks_path: str = DEFAULT_RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_tokens, n_chunks, n_widened): exact numbers of tokens under a byte-level vocabulary.
 
     ``ranks_path`` names a file of base64 tokens with their ranks, which the driver reads and broadcasts once: the
@@ -121,5 +121,5 @@ def token_counts(docs: DataFrame, ranks_path: str = DEFAULT_RANKS, chunk: int =
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["doc_id", "n_tokens", "n_chunks", "n_widened"])
 
-    rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_chunks int, n_widened int")

@@ -54,7 +54,7 @@ def empty(spark):
 
 @pytest.fixture(scope="session")
 def documents(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+    return spark.read.parquet(f"{SF}/documents.parquet")
 
 
 @pytest.fixture(scope="session")

@@ -88,3 +88,111 @@ def test_awkward_media(spark):
     assert tiff.tiff_pages(df.limit(0), "name", "media").count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [0.5, None]), (None, [0.25] * 9)], "vec_id bigint, embedding array<float>")
     assert {r.vec_id: r.media is not None for r in tiff.rendered(odd).collect()} == {1: False, 2: False, 3: False, None: True}
+
+
+# ---- files put together field by field, apart from the module's own writer ------------------------------------------
+
+SORTS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
+
+
+def file(fields, blocks, order="<"):
+    """A file of one directory of (tag, type, values); the values "at" and "sizes" are where the blocks are and how long."""
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "H", 42)
+    at, body = [], b""
+    for b in blocks:
+        at.append(8 + len(body))
+        body += b
+    body += b"\0" * (len(body) % 2)
+    place, extra, table = 8 + len(body) + 2 + 12 * len(fields) + 4, b"", b""
+    for tag, sort, values in fields:
+        values = at if values == "at" else [len(b) for b in blocks] if values == "sizes" else values
+        packed = values if isinstance(values, bytes) else struct.pack(order + SORTS[sort] * len(values), *(values if len(SORTS[sort]) == 1 else [x for v in values for x in (v, 1)]))
+        count = len(values)
+        if len(packed) > 4:
+            table += struct.pack(order + "HHII", tag, sort, count, place + len(extra))
+            extra += packed
+        else:
+            table += struct.pack(order + "HHI", tag, sort, count) + packed.ljust(4, b"\0")
+    return head + struct.pack(order + "I", 8 + len(body)) + body + struct.pack(order + "H", len(fields)) + table + struct.pack(order + "I", 0) + extra
+
+
+def basic(w, h, bits=8, coding=1, samples=1, rows=None, more=()):
+    fields = [(256, 3, [w]), (257, 3, [h]), (258, 3, [bits] * samples), (259, 3, [coding]), (273, 4, "at"), (277, 3, [samples]), (278, 3, [rows or h]), (279, 4, "sizes"), *more]
+    return sorted(fields)
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_planes_apart(order):
+    image = np.arange(5 * 4 * 3, dtype="u2").reshape(5, 4, 3)
+    strips = [image[top : top + 2, :, c].astype(order + "u2").tobytes() for c in range(3) for top in (0, 2, 4)]
+    (page,) = tiff.read(file(basic(4, 5, 16, samples=3, rows=2, more=[(284, 3, [2])]), strips, order))
+    assert page.error is None and np.array_equal(page.pixels, image)
+    tiles = [np.pad(image[:, :, c], ((0, 11), (0, 12))).astype(order + "u2").tobytes() for c in range(3)]
+    fields = [f for f in basic(4, 5, 16, samples=3, more=[(284, 3, [2]), (322, 3, [16]), (323, 3, [16]), (324, 4, "at"), (325, 4, "sizes")]) if f[0] not in (273, 278, 279)]
+    (page,) = tiff.read(file(fields, tiles, order))
+    assert page.error is None and np.array_equal(page.pixels, image)
+
+
+def test_reversed_bits():
+    data = bytes([0b10110000, 0b01000000])
+    turned = bytes(int(f"{b:08b}"[::-1], 2) for b in data)
+    (page,) = tiff.read(file(basic(10, 1, 1, more=[(266, 3, [2])]), [turned]))
+    assert page.error is None and page.pixels[0, :, 0].tolist() == [1, 0, 1, 1, 0, 0, 0, 0, 0, 1]
+
+
+def test_a_known_file_of_deflate_with_differences():
+    import zlib
+
+    raw = bytes([10, 1, 1, 255, 200, 100, 0, 1])  # rows 10 11 12 11 and 200 44 44 45
+    (page,) = tiff.read(file(basic(4, 2, 8, 8, more=[(317, 3, [2])]), [zlib.compress(raw)]))
+    assert page.error is None and page.pixels[:, :, 0].tolist() == [[10, 11, 12, 11], [200, 44, 44, 45]]
+
+
+WRONG = [(256, 4, []), (256, 2, b"ab"), (256, 11, [4.0]), (256, 4, [2**32 - 1]), (257, 9, [-1]), (258, 5, [8]), (259, 12, [1.0]), (273, 2, b"x"), (277, 3, [65535]), (278, 6, [-1]), (279, 11, [1.0]), (284, 3, [7]), (317, 4, [2**32 - 1]), (322, 4, [0]), (339, 2, b"q")]
+
+
+@pytest.mark.parametrize("field", WRONG, ids=str)
+def test_forged_fields_are_error_pages(spark, field):
+    fields = sorted([f for f in basic(3, 2) if f[0] != field[0]] + [field])
+    data = file(fields, [bytes(range(6))])
+    rows = tiff.tiff_pages(spark.createDataFrame([(1, data), (2, file(basic(3, 2), [bytes(range(6))]))], "k int, media binary"), "k", "media").collect()
+    assert sorted(r.k for r in rows) == [1, 2]
+    assert all((r.error is None) == (r.k == 2) and (r.pixels is None) == (r.k == 1) for r in rows)
+
+
+def test_any_field_of_any_type_and_count_goes_through_the_operator(spark):
+    r, rows = random.Random(8), []
+    for k in range(1500):
+        fields = {f[0]: f for f in basic(3, 2, samples=r.choice([1, 1, 2]))}
+        for _ in range(r.randint(1, 3)):
+            tag, sort, n = r.choice(sorted(tiff.TAGS)), r.choice([*SORTS, 13, 0]), r.choice([0, 1, 1, 2, 5])
+            fields[tag] = (tag, sort, r.randbytes(n * 8)[: r.choice([n, n * 2, n * 4, n * 8])])
+        data = bytearray(file(sorted(fields.values()), [r.randbytes(r.randint(0, 9))], r.choice("<>")))
+        for _ in range(r.randint(0, 2)):
+            data[r.randrange(len(data))] = r.randrange(256)
+        rows.append((k, bytes(data)))
+    out = tiff.tiff_pages(spark.createDataFrame(rows, "k int, media binary"), "k", "media").collect()
+    assert {x.k for x in out} == set(range(1500)) and all((x.error is None) != (x.pixels is None) for x in out)
+
+
+def test_small_files_cannot_ask_for_much_memory():
+    for coding in (1, 5, 8, 32773):
+        (page,) = tiff.read(file(basic(30_000, 30_000, coding=coding), [b"abc"]))
+        assert page.error and page.pixels is None and page.width == 30_000
+    shared = [(tag, 4, [0] * 3000) for tag in (273, 279, 324, 325)]
+    many = b"II*\0" + struct.pack("<I", 8)
+    for k in range(50):  # directories that all point at the same values
+        many += struct.pack("<H", 4) + b"".join(struct.pack("<HHII", t, s, len(v), 100) for t, s, v in shared) + struct.pack("<I", len(many) + 2 + 48 + 4 if k < 49 else 0)
+    assert "share" in tiff.read(many + bytes(12_000))[-1].error
+
+
+def test_the_limit_is_a_parameter(spark):
+    df = spark.createDataFrame([(1, tiff.write([(np.zeros((20, 20), "u1"), tiff.NONE, 1, 20)]))], "k int, media binary")
+    (row,) = tiff.tiff_pages(df, "k", "media", most_bytes=399).collect()
+    assert "limit" in row.error and tiff.tiff_pages(df, "k", "media", most_bytes=400).first().error is None
+
+
+def test_a_key_named_like_a_result(spark):
+    df = spark.createDataFrame([(7, tiff.write([(np.zeros((2, 3), "u1"), tiff.NONE, 1, 2)]))], "width int, media binary")
+    (row,) = tiff.tiff_pages(df, "width", "media").collect()
+    assert (row["width"], row["width_"], row["height"]) == (7, 3, 2)
