@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtok.llm import line_dedup, packing, pii, quality, simhash
-from loomtok.llm.common import shared_folder
+from loomtok.llm.common import delete, scratch, shared_folder, spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -44,23 +44,24 @@ STAGES: list[tuple[str, Stage]] = [("quality", quality_rules), ("line_dedup", li
 ORACLE_SQL = None
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what each returns is written to the shared folder and read as the next one's input.
 
-    A stage's rows are deleted when the next one's are written whole, so that two stages' rows are held at most.
+    A stage's rows are deleted when the next one's are written whole, so that two stages' rows are held at most, and
+    so are the tables that it wrote on its way. After an error nothing is left; else the last stage's rows are.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     folder = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     before = None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
-            _delete(spark, f"{folder}/{before}")
-        before = name
+    try:
+        for name, stage in STAGES:
+            with scratch():
+                stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                delete(spark, f"{folder}/{before}")
+            before = name
+    except BaseException:
+        delete(spark, folder)
+        raise
     return docs
