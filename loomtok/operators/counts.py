@@ -1,10 +1,14 @@
-"""Counting: pieces, characters, pairs, symbols, substrings. All of it is native, with one shuffle on the counted key."""
+"""Counting: pieces, characters, pairs, symbols, substrings. Each has one shuffle on the counted key, after partial counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtok.functions import buffers
 from loomtok.functions import text as T
 from loomtok.plans.config import TrainerKind
 
@@ -14,15 +18,26 @@ def prepared(texts: DataFrame, max_chars: int, column: str = "text") -> DataFram
     return texts.where(T.has_text(column)).select(T.truncate(column, max_chars).alias("text"))
 
 
-def counted(pieces: Column, rows: DataFrame) -> DataFrame:
-    return rows.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("freq"))
+def counted(rows: DataFrame, words: bool = False) -> DataFrame:
+    """(piece, freq) of the texts in ``rows`` (text): raw byte-level pieces, or words.
+
+    Pieces are cut and counted in the Arrow batches' own buffers, so that what leaves a batch are its distinct pieces;
+    native expressions give the same rows in three times the time, since they make an array of strings for each text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in buffers.counted(batch.column(0), words):
+                yield pa.RecordBatch.from_arrays(list(found), ["piece", "n"])
+
+    return rows.select("text").mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("freq"))
 
 
 def piece_counts(rows: DataFrame, kind: TrainerKind = TrainerKind.byte_bpe) -> DataFrame:
     """(piece, freq), exact. Byte-level pieces are encoded once each, after the counting: that is one to one."""
     if kind is not TrainerKind.byte_bpe:
-        return counted(T.words("text"), rows)
-    return counted(T.byte_pieces("text"), rows).select(T.byte_encode("piece").alias("piece"), "freq")
+        return counted(rows, words=True)
+    return counted(rows).select(T.byte_encode("piece").alias("piece"), "freq")
 
 
 def top_pieces(counts: DataFrame, k: int) -> DataFrame:

@@ -6,12 +6,14 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from loomtok.functions import buffers
 from loomtok.functions.chars import PYTHON_CLASS, WHITESPACE, byte_decode, byte_encode
 
 _BYTE_PIECES = re.compile(f"[{PYTHON_CLASS}]*[^{PYTHON_CLASS}]+|[{PYTHON_CLASS}]+")
@@ -164,62 +166,25 @@ class Encoder:
         return "".join(tokens)
 
 
-#: Bytes of text that are split at once.
-BLOCK_BYTES = 4_000_000
-_ASCII_SPACE = np.zeros(256, bool)
-_ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: White space of two and of three bytes, by its first byte.
-_WIDE = [c.encode() for c in WHITESPACE if ord(c) > 127]
-
-
-def _spaces(data: np.ndarray) -> np.ndarray:
-    """Which bytes of UTF-8 text belong to white space."""
-    out = _ASCII_SPACE[data]
-    for lead in {w[0] for w in _WIDE}:
-        at = np.flatnonzero(data == lead)
-        for w in _WIDE:
-            if w[0] == lead and len(at):
-                here = at[at + len(w) <= len(data)]
-                for k in range(1, len(w)):
-                    here = here[data[here + k] == w[k]]
-                for k in range(len(w)):
-                    out[here + k] = True
-    return out
-
-
 def encode_array(encoder: Encoder, texts: pa.Array, bos: int | None = None, eos: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of an array of strings, null as empty and without ``bos`` and ``eos``.
 
     Pieces are cut where white space follows something else, as views of the array's own bytes, and numbered by Arrow;
     only distinct ones reach the encoder. Pieces of words keep the blanks before them here, which changes no id.
     """
-    texts = texts.cast(pa.large_string())
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
     there = texts.is_valid().to_numpy(zero_copy_only=False)
     chunks: list[np.ndarray] = []
     sizes = np.zeros(len(texts), np.int64)
-    row = 0
-    while row < len(texts):
-        last = max(row + 1, int(np.searchsorted(bounds, bounds[row] + BLOCK_BYTES, "right")) - 1)
-        low, high = int(bounds[row]), int(bounds[last])
-        if high > low:
-            data = np.frombuffer(raw, np.uint8, high - low, low)
-            space = _spaces(data)
-            begins = np.zeros(len(data) + 1, bool)
-            begins[1:-1] = space[1:] & ~space[:-1]
-            begins[bounds[row : last + 1] - low] = True
-            begins[-1] = True
-            cuts = np.flatnonzero(begins)
-            pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), raw.slice(low, high - low)).dictionary_encode()
-            index, ids = pieces.indices.to_numpy(), encoder.many(pieces.dictionary.to_pylist())
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-            ends = np.concatenate([[0], np.cumsum(lengths[index])])
-            begin = (np.cumsum(lengths) - lengths)[index]
-            chunks.append(flat[np.repeat(begin - ends[:-1], lengths[index]) + np.arange(ends[-1])])
-            sizes[row:last] = np.diff(ends[np.searchsorted(cuts, bounds[row : last + 1] - low)])
-        row = last
+    for row, last, block, bounds in buffers.blocks(texts):
+        at = buffers.cuts(block, bounds)
+        pieces = buffers.pieces(block, at).dictionary_encode()
+        index, ids = pieces.indices.to_numpy(), encoder.many(pieces.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+        ends = np.concatenate([[0], np.cumsum(lengths[index])])
+        begin = (np.cumsum(lengths) - lengths)[index]
+        chunks.append(flat[np.repeat(begin - ends[:-1], lengths[index]) + np.arange(ends[-1])])
+        sizes[row:last] = np.diff(ends[np.searchsorted(at, bounds)])
     ids = np.concatenate(chunks) if chunks else np.empty(0, np.int32)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     for extra, where in ((bos, offsets[:-1]), (eos, None)):

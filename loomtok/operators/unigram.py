@@ -8,12 +8,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtok.operators import counts
 
 
+#: What a seed weighs besides its count.
+SPARE = 1e-6
+
+
 @dataclass
 class Token:
     token: str
@@ -29,6 +33,16 @@ def normalise(tokens: list[Token]) -> None:
         t.logp = math.log(t.weight / total) if t.weight / total > 0 else math.log(1e-12)
 
 
+def normalised(seeds: DataFrame) -> DataFrame:
+    """``seeds`` (token, freq, ...) with weight and logp: the log of each one's share, each weighing a little more than its count.
+
+    The table has the size of a vocabulary, whatever the data. The sum is one of integers, and so in any order the same.
+    """
+    every = Window.partitionBy()
+    total = F.sum("freq").over(every) + F.count("*").over(every) * F.lit(SPARE)
+    return seeds.withColumn("weight", F.col("freq") + F.lit(SPARE)).withColumn("logp", F.log(F.col("weight") / total))
+
+
 def order(t: Token) -> tuple:
     return (not t.required, -t.weight, t.token)
 
@@ -96,12 +110,12 @@ def seed(pieces: DataFrame, target: int, min_freq: int, longest: int, seed_multi
 
 def learn(pieces: DataFrame, target: int, min_freq: int, longest: int, rounds: int, seed_multiplier: int, prune_ratio: float) -> list[tuple[str, float]]:
     """(token, score) of the model, required characters first. ``pieces`` (piece, freq) is read once per round: cache or checkpoint it."""
-    tokens = [Token(r.token, r.freq + 1e-6, r.required) for r in seed(pieces, target, min_freq, longest, seed_multiplier).collect()]
+    seeds = normalised(seed(pieces, target, min_freq, longest, seed_multiplier))
+    tokens = [Token(r.token, r.weight, r.required, r.logp) for r in seeds.collect()]
     if not tokens:
         raise ValueError("no words survived min_freq")
     target = max(target, sum(t.required for t in tokens))
     tokens.sort(key=order)
-    normalise(tokens)
     words = counts.frequent(pieces, min_freq)
     for k in range(rounds):
         found = token_counts(words, {t.token: t.logp for t in tokens})

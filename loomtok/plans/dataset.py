@@ -5,11 +5,8 @@ from __future__ import annotations
 import copy
 import hashlib
 import json
-import os
-import shutil
 from collections.abc import Iterator
 from datetime import datetime, timezone
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +17,8 @@ from pyspark.sql import functions as F
 from loomtok.functions import text as T
 from loomtok.plans.config import TokenizeArgs, data_from_env
 from loomtok.plans.tokenizer import Tokenizer
-from loomtok.sources import inputs, readers
+from loomtok.plans.progress import progress
+from loomtok.sources import files, inputs, readers
 
 
 def dtype_of(vocab_size: int) -> np.dtype:
@@ -29,24 +27,36 @@ def dtype_of(vocab_size: int) -> np.dtype:
 
 def signature(args: TokenizeArgs, bos: int | None, eos: int | None, dtype: np.dtype) -> str:
     """What a finished file depends on, the model's bytes included."""
-    digest = hashlib.sha256(Path(args.tokenizer_path).read_bytes()).hexdigest()
+    digest = hashlib.sha256(files.read_bytes(args.tokenizer_path)).hexdigest()
     return json.dumps({"tokenizer": digest, "text_field": args.text_field, "min_chars": args.min_chars, "max_chars": args.max_chars, "bos": bos, "eos": eos, "bytes": dtype.itemsize, "per_shard": args.max_tokens_per_shard}, sort_keys=True)
 
 
-def read_completed(path: Path, sign: str) -> list[dict]:
+def read_completed(path: str, sign: str) -> list[dict]:
     """The finished files of an earlier run with the same signature, in the order of their tokens; else none."""
-    try:
-        lines = path.read_text("utf-8").splitlines()
-    except OSError:
-        return []
+    lines = (files.read_text(path) or "").splitlines()
     return [json.loads(x) for x in lines[1:]] if lines and lines[0] == sign else []
 
 
-def _replace(path: Path, text: str) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(path.name + ".part")
-    part.write_text(text, "utf-8")
-    part.replace(path)
+def pending(inputs: DataFrame, done: DataFrame, by: list[str]) -> DataFrame:
+    """What of ``inputs`` isn't ``done``: with the same values in the columns ``by``. Null is no value, and never done."""
+    return inputs.join(done.select(*by).distinct(), by, "left_anti")
+
+
+def file_totals(encoded: DataFrame, by: str = "file_idx") -> DataFrame:
+    """(by, docs, skipped, truncated, tokens) of encoded documents (by, cut, ids); the ids of a skipped one are null."""
+    return encoded.groupBy(by).agg(
+        F.count("ids").alias("docs"),
+        F.count_if(F.col("ids").isNull()).alias("skipped"),
+        F.count_if(F.col("ids").isNotNull() & F.col("cut")).alias("truncated"),
+        F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.lit(0)).cast("bigint").alias("tokens"),
+    )
+
+
+def kept_text(rows: DataFrame, min_chars: int, max_chars: int) -> DataFrame:
+    """``rows`` with text null where it is too short, and else truncated, which ``cut`` tells."""
+    long = T.long_enough("text", min_chars)
+    cut = F.char_length("text") > max_chars if max_chars > 0 else F.lit(False)
+    return rows.withColumn("cut", cut).withColumn("text", F.when(long, T.truncate("text", max_chars)))
 
 
 def placed(encoded: DataFrame, base: int) -> DataFrame:
@@ -86,11 +96,14 @@ def write_shards(rows: DataFrame, folder: str, dtype: np.dtype, base: int, per_s
         def close() -> None:
             if out is not None:
                 out.close()
-                os.replace(out.name, name(shard))
+                files.renamed(aside(shard), name(shard))
                 done.append((shard, count))
 
         def name(k: int) -> str:
-            return os.path.join(folder, f"train_{k:06d}.bin")
+            return files.join(folder, f"train_{k:06d}.bin")
+
+        def aside(k: int) -> str:
+            return f"{name(k)}.{task.taskAttemptId() if task else 0}.part"
 
         for batch in batches:
             ids = batch.column(2)
@@ -99,10 +112,13 @@ def write_shards(rows: DataFrame, folder: str, dtype: np.dtype, base: int, per_s
                 if k != shard:
                     close()
                     shard, count = k, 0
-                    out = open(f"{name(k)}.{task.taskAttemptId() if task else 0}.part", "wb")  # noqa: SIM115
+                    out = files.created(aside(k))
                     if k == base // per_shard and base % per_shard:
-                        with open(name(k), "rb") as old:
-                            out.write(old.read(base % per_shard * kind.itemsize))
+                        with files.opened(name(k)) as old:
+                            left = base % per_shard * kind.itemsize
+                            while left and (block := old.read(min(left, 1 << 24))):
+                                out.write(block)
+                                left -= len(block)
                         count = base % per_shard
                 part = flat[offsets[i] : offsets[i + 1]]
                 if kind.itemsize == 2 and len(part) and part.max() > 65_535:
@@ -112,7 +128,7 @@ def write_shards(rows: DataFrame, folder: str, dtype: np.dtype, base: int, per_s
         close()
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], ["shard", "tokens"])
 
-    os.makedirs(folder, exist_ok=True)
+    files.make_folder(folder)
     sorted_rows = rows.repartition("shard").sortWithinPartitions("shard", "at").select("shard", "at", "ids")
     return {r.shard: r.tokens for r in sorted_rows.mapInArrow(run, "shard bigint, tokens bigint").collect()}
 
@@ -123,7 +139,8 @@ def tokenize(args: TokenizeArgs, inputs_: list[str] | None = None, spark: SparkS
     Order is that of the sources and of the documents in them, whatever the cluster. With ``resume``, files that an
     earlier run with the same signature finished are left out if their size and time are the same; new ones follow.
     If one of them has changed, or isn't asked for now, the shards are made anew. The manifest is written last:
-    what a broken run leaves behind is cut off by the next one. ``out_dir`` must be a folder that executors share.
+    what a broken run leaves behind is cut off by the next one. ``out_dir`` must be a folder that executors share, a path or
+    a URI. The input is read once: what is skipped and truncated is counted from what is encoded.
     """
     if args.max_docs:
         raise ValueError("max_docs isn't supported")
@@ -134,52 +151,52 @@ def tokenize(args: TokenizeArgs, inputs_: list[str] | None = None, spark: SparkS
     tokenizer = Tokenizer(args.tokenizer_path)
     bos, eos = tokenizer.special_id(args.bos_token), tokenizer.special_id(args.eos_token)
     dtype = dtype_of(tokenizer.vocab_size)
-    sources = inputs.resolve(args.input_entries, args.data_glob, args.data_list)
-    out = Path(args.out_dir).absolute()
-    shards, manifest = out / "shards", out / "cache" / "completed.list"
+    sources = inputs.resolve(args.input_entries, args.data_glob, args.data_list, inputs.cache_for(spark))
+    out = files.absolute(args.out_dir)
+    shards, manifest = files.join(out, "shards"), files.join(out, "cache", "completed.list")
     sign = signature(args, bos, eos, dtype)
     now = {s.normalized_id: s for s in sources}
     done = read_completed(manifest, sign) if args.resume else []
     if any((s := now.get(d["id"])) is None or (s.file_size, s.file_mtime) != (d["size"], d["mtime"]) for d in done):
         done = []
     if not done:
-        manifest.unlink(missing_ok=True)
-        shutil.rmtree(shards, ignore_errors=True)
-    shards.mkdir(parents=True, exist_ok=True)
+        files.remove(manifest)
+        files.remove(shards)
+    files.make_folder(shards)
     base, per = sum(d["tokens"] for d in done), args.max_tokens_per_shard
     finished = {d["id"] for d in done}
     todo = [s for s in sources if s.normalized_id not in finished]
     fresh: list[dict] = []
     if todo:
-        rows = readers.read(spark, todo, args.text_field)
-        if args.prescan_records:
-            readers.count_records(rows)
-        stats = {r.file_idx: r for r in rows.groupBy("file_idx").agg(F.count_if(~T.long_enough("text", args.min_chars)).alias("skipped")).collect()}
-        kept = rows.where(T.long_enough("text", args.min_chars)).withColumn("text", T.truncate("text", args.max_chars))
-        staged = str(out / "cache" / "encoded")
-        tokenizer.encode_frame(kept, ["file_idx", "part", "pos"], "text", args.bos_token, args.eos_token, args.cache_max_entries).write.mode("overwrite").parquet(staged)
-        encoded = spark.read.parquet(staged)
-        sums = {r.file_idx: r for r in encoded.groupBy("file_idx").agg(F.count("*").alias("docs"), F.sum(F.size("ids")).alias("tokens")).collect()}
-        for i, s in enumerate(todo):
-            docs, tokens = (sums[i].docs, int(sums[i].tokens)) if i in sums else (0, 0)
-            fresh.append({"id": s.normalized_id, "size": s.file_size, "mtime": s.file_mtime, "docs": docs, "skipped": stats[i].skipped if i in stats else 0, "tokens": tokens})
-        expected = sum(f["tokens"] for f in fresh)
-        written = write_shards(in_shards(placed(encoded, base), per), str(shards), dtype, base, per)
+        staged = files.join(out, "cache", "encoded")
+        with progress(spark, "tokenize", 1000 if args.prescan_records else 0):
+            kept = kept_text(readers.read(spark, todo, args.text_field), args.min_chars, args.max_chars)
+            tokenizer.encode_frame(kept, ["file_idx", "part", "pos", "cut"], "text", args.bos_token, args.eos_token, args.cache_max_entries).write.mode("overwrite").parquet(staged)
+            encoded = spark.read.parquet(staged)
+            sums = {r.file_idx: r for r in file_totals(encoded).collect()}
+            none = {"docs": 0, "skipped": 0, "truncated": 0, "tokens": 0}
+            for i, s in enumerate(todo):
+                found = {k: sums[i][k] for k in none} if i in sums else none
+                fresh.append({"id": s.normalized_id, "size": s.file_size, "mtime": s.file_mtime, **found})
+            expected = sum(f["tokens"] for f in fresh)
+            written = write_shards(in_shards(placed(encoded.where("ids is not null"), base), per), shards, dtype, base, per)
         got = sum(written.values()) - (base % per if expected and base // per in written else 0)
         if got != expected:
             raise RuntimeError(f"{got} tokens were written, {expected} were encoded")
-        shutil.rmtree(staged, ignore_errors=True)
+        files.remove(staged)
     records = [*done, *fresh]
     total = sum(r["tokens"] for r in records)
     count = max(1, -(-total // per))
-    for old in shards.glob("train_*"):
-        if old.suffix != ".bin" or int(old.stem[6:]) >= count:
-            old.unlink()
+    there = {f.base_name: f.size for f in files.listed(shards)}
+    for old in there:
+        if old.startswith("train_") and (not old.endswith(".bin") or int(old[6:-4]) >= count):
+            files.remove(files.join(shards, old))
     if not total:
-        (shards / "train_000000.bin").touch()
+        files.created(files.join(shards, "train_000000.bin")).close()
+        there["train_000000.bin"] = 0
     sizes = [min(per, total - k * per) for k in range(count)]
     for k, n in enumerate(sizes):
-        if (shards / f"train_{k:06d}.bin").stat().st_size != n * dtype.itemsize:
+        if there.get(f"train_{k:06d}.bin") != n * dtype.itemsize:
             raise RuntimeError(f"shard {k} hasn't the size that the manifest says")
     meta = {
         "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
@@ -199,11 +216,13 @@ def tokenize(args: TokenizeArgs, inputs_: list[str] | None = None, spark: SparkS
         "max_memory_mb": args.max_memory_mb,
         "num_docs": sum(r["docs"] for r in records),
         "num_skipped": sum(r["skipped"] for r in records),
+        "num_truncated": sum(r["truncated"] for r in records),
+        "num_records": sum(r["docs"] + r["skipped"] for r in records),
         "total_tokens": total,
         "shards": [{"file": f"shards/train_{k:06d}.bin", "num_tokens": n} for k, n in enumerate(sizes)],
         "num_reused_files": len(done),
         "layout": {"shards": "shards", "completed": "cache/completed.list"},
     }
-    _replace(manifest, "\n".join([sign, *(json.dumps(r, sort_keys=True) for r in records)]) + "\n")
-    _replace(out / "meta.json", json.dumps(meta, ensure_ascii=False, indent=2) + "\n")
+    files.write_text(manifest, "\n".join([sign, *(json.dumps(r, sort_keys=True) for r in records)]) + "\n")
+    files.write_text(files.join(out, "meta.json"), json.dumps(meta, ensure_ascii=False, indent=2) + "\n")
     return meta

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from loomtok.operators.encode import Model
 from loomtok.plans.config import TrainConfig, TrainerKind
+from loomtok.sources import files
 
 _KINDS = {"BPE": "BPE", "WordPiece": "WordPiece", "Unigram": "Unigram"}
 
@@ -16,7 +16,7 @@ def load(path: str, strict_unk: bool = False) -> Model:
 
     A Unigram model's ``unk_id`` counts only with ``strict_unk``; otherwise it has no unknown token unless it names one.
     """
-    data = json.loads(Path(path).read_text("utf-8"))
+    data = json.loads(files.read_bytes(path).decode("utf-8"))
     model = data["model"]
     kind = model.get("type") or ("Unigram" if isinstance(model.get("vocab"), list) else "BPE")
     if kind not in _KINDS:
@@ -59,18 +59,10 @@ def as_json(config: TrainConfig, tokens: list[str], merges: list[tuple[str, str]
     return {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [{"id": ids[t], "content": t} | flags for t in named], "normalizer": None, "pre_tokenizer": split, "post_processor": None, "decoder": decoder, "model": model}
 
 
-def _write(path: str, text: str) -> None:
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(target.name + ".part")
-    part.write_text(text, "utf-8")
-    part.replace(target)
-
-
 def save(config: TrainConfig, tokens: list[str], merges: list[tuple[str, str]], scores: list[float]) -> None:
     compact = {"ensure_ascii": False, "separators": (",", ":")}
-    _write(config.output_json, json.dumps(as_json(config, tokens, merges, scores), **compact))
+    files.write_text(config.output_json, json.dumps(as_json(config, tokens, merges, scores), **compact))
     if config.write_vocab:
-        _write(config.output_vocab, json.dumps({t: i for i, t in enumerate(tokens)}, **compact))
+        files.write_text(config.output_vocab, json.dumps({t: i for i, t in enumerate(tokens)}, **compact))
     if config.write_merges and config.trainer in (TrainerKind.byte_bpe, TrainerKind.bpe):
-        _write(config.output_merges, "\n".join(["#version: 0.2", *(" ".join(m) for m in merges)]) + "\n")
+        files.write_text(config.output_merges, "\n".join(["#version: 0.2", *(" ".join(m) for m in merges)]) + "\n")

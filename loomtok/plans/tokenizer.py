@@ -102,26 +102,34 @@ class Tokenizer:
         return encode_column(df, self.model, keep, text, memo, self.special_id(bos_token), self.special_id(eos_token))
 
     def tokenize_inputs_to_torch(self, inputs_: list[str], text_field: str = "text", min_chars: int = 1, max_chars: int = 20_000, bos_token: str = "", eos_token: str = "", dtype: str = "int64", reset_cache: bool = False) -> dict:
-        """token_ids of all documents in order, doc_offsets, doc_lengths, num_docs, num_skipped and sources. The result is held by the driver."""
+        """token_ids of all documents in order, doc_offsets, doc_lengths, num_docs, num_skipped and sources.
+
+        The result is held by the driver, as one Arrow column; :func:`offsets` sums up lengths of what stays distributed.
+        """
         spark = SparkSession.builder.getOrCreate()
-        sources = inputs.resolve(inputs_)
-        rows = readers.read(spark, sources, text_field)
-        skipped = rows.where(~T.long_enough("text", min_chars)).count()
-        kept = rows.where(T.long_enough("text", min_chars)).withColumn("text", T.truncate("text", max_chars))
-        ids = self.encode_frame(kept, ["file_idx", "part", "pos"], "text", bos_token, eos_token).orderBy("file_idx", "part", "pos").select("ids")
-        docs = [r.ids for r in ids.toLocalIterator(prefetchPartitions=True)]
-        lengths = np.array([len(d) for d in docs], np.int64)
-        flat = np.array([i for d in docs for i in d], np.int64)
+        if reset_cache:
+            self._ready.memo.clear()
+        sources = inputs.resolve(inputs_, cache_dir=inputs.cache_for(spark))
+        kept = readers.read(spark, sources, text_field).withColumn("text", F.when(T.long_enough("text", min_chars), T.truncate("text", max_chars)))
+        ids = self.encode_frame(kept, ["file_idx", "part", "pos"], "text", bos_token, eos_token).orderBy("file_idx", "part", "pos").select("ids").toArrow().column(0)
+        docs = ids.drop_null().combine_chunks()
+        bounds = docs.offsets.to_numpy() - docs.offsets[0].as_py() if len(docs) else np.zeros(1, np.int64)
         return {
-            "token_ids": _tensor(flat, dtype),
-            "doc_offsets": _tensor(np.concatenate([[0], np.cumsum(lengths)]), "int64"),
-            "doc_lengths": _tensor(lengths, "int64"),
+            "token_ids": _tensor(docs.flatten().to_numpy(), dtype),
+            "doc_offsets": _tensor(bounds, "int64"),
+            "doc_lengths": _tensor(np.diff(bounds), "int64"),
             "num_docs": len(docs),
-            "num_skipped": skipped,
+            "num_skipped": ids.null_count,
             "sources": [s.source for s in sources],
         }
 
 
+def token_ids(df: DataFrame, model: Model, column: str) -> DataFrame:
+    """``df`` with id (bigint): that of the token in ``column``, null for what the vocabulary hasn't. The vocabulary is broadcast."""
+    known = df.sparkSession.createDataFrame([(t, i) for t, i in {**model.vocab, **model.added}.items()], "__token string, id bigint")
+    return df.join(F.broadcast(known), F.col(column) == F.col("__token"), "left").drop("__token")
+
+
 def padded(ids: DataFrame, group: str, pad_id: int = 0, column: str = "ids") -> DataFrame:
     """``ids`` with input_ids, filled up to the longest of its ``group``, and length."""
     longest = F.max(F.size(column)).over(Window.partitionBy(group))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import copy
 import hashlib
 import json
-import os
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,56 +16,69 @@ from loomtok.functions.chars import BYTE_CHARS
 from loomtok.operators import bpe, counts, unigram, wordpiece
 from loomtok.plans import model_file
 from loomtok.plans.config import TrainConfig, TrainerKind
-from loomtok.sources import inputs, readers
+from loomtok.plans.progress import progress
+from loomtok.sources import files, inputs, readers
 
 
 @dataclass
 class Trained:
+    """A vocabulary, and from :func:`train` how many ``records`` were counted, how many of them ``truncated``, and their ``chars``."""
+
     tokens: list[str]
     merges: list[tuple[str, str]]
     scores: list[float]
+    records: dict[str, int] = field(default_factory=dict)
 
 
-def _words(pieces: DataFrame, symbols) -> list[tuple[list[str], int]]:
-    """At most ``driver_pieces`` rows, in one job."""
-    table = pieces.select(symbols.alias("syms"), "freq").toArrow()
-    return list(zip(table.column("syms").to_pylist(), table.column("freq").to_pylist(), strict=True))
+def _held(pieces: DataFrame, config: TrainConfig) -> list[tuple[str, int]] | None:
+    """The pieces on the driver, in one job, or none if there are more than ``driver_pieces`` or the job is to stay distributed."""
+    if config.backend == "distributed":
+        return None
+    table = (pieces if config.backend == "driver" else pieces.limit(config.driver_pieces + 1)).toArrow()
+    if config.backend == "auto" and table.num_rows > config.driver_pieces:
+        return None
+    return list(zip(table.column("piece").to_pylist(), table.column("freq").to_pylist(), strict=True))
 
 
 def learn(pieces: DataFrame, config: TrainConfig) -> Trained:
-    """The vocabulary of counted pieces (piece, freq), which should be cached or written: they are read more than once.
+    """The vocabulary of counted pieces (piece, freq). Byte-level BPE on the driver reads them once; else they should be cached or written.
 
     The driver learns from the reduced table as long as that has at most ``driver_pieces`` rows, or rounds of
     DataFrame operations do; the result is the same.
     """
+    if config.pair_max_entries > 0:
+        warnings.warn("pair_max_entries has no effect: all pairs are counted", stacklevel=2)
     specials = config.specials()
     if config.top_k > 0:
         pieces = counts.top_pieces(pieces, config.top_k)
     kept = counts.frequent(pieces, config.min_freq)
-    distinct = kept.count()
-    if not distinct and pieces.isEmpty():
-        raise ValueError("nothing was counted")
     if config.trainer is TrainerKind.unigram:
+        if pieces.isEmpty():
+            raise ValueError("nothing was counted")
         room = max(0, config.vocab_size - len(specials))
         found = unigram.learn(pieces, room, config.min_freq, config.max_token_length, config.unigram_em_iters, config.unigram_seed_multiplier, config.unigram_prune_ratio)
         model = [(t, s) for t, s in found if t not in specials]
         return Trained([*specials, *(t for t, _ in model)], [], [-100.0] * len(specials) + [s for _, s in model])
-    small = config.backend == "driver" or (config.backend == "auto" and distinct <= config.driver_pieces)
+    held = _held(kept, config)
+    if not held and pieces.isEmpty():
+        raise ValueError("nothing was counted")
     if config.trainer is TrainerKind.wordpiece:
-        symbols = T.continued(T.code_points("piece"), config.wordpiece_continuing_prefix)
-        base = sorted(r[0] for r in kept.select(F.explode(symbols)).distinct().collect())
+        prefix = config.wordpiece_continuing_prefix
+        symbols = T.continued(T.code_points("piece"), prefix)
+        words = [([c if i == 0 else prefix + c for i, c in enumerate(p)], f) for p, f in held] if held is not None else []
+        base = sorted({s for syms, _ in words for s in syms} if held is not None else (r[0] for r in kept.select(F.explode(symbols)).distinct().collect()))
         target = config.target(len(base))
-        if small:
-            made = wordpiece.learn_on_driver(_words(kept, symbols), base, target, config.min_pair_freq, config.wordpiece_continuing_prefix)
+        if held is not None:
+            made = wordpiece.learn_on_driver(words, base, target, config.min_pair_freq, prefix)
         else:
-            made = wordpiece.learn_distributed(kept.select(symbols.alias("syms"), "freq"), base, target, config.min_pair_freq, config.wordpiece_continuing_prefix)
+            made = wordpiece.learn_distributed(kept.select(symbols.alias("syms"), "freq"), base, target, config.min_pair_freq, prefix)
         tokens, merges = [*base, *made], []
     else:
         symbols = T.code_points("piece")
         base = list(BYTE_CHARS) if config.trainer is TrainerKind.byte_bpe else sorted(r[0] for r in counts.alphabet(pieces).collect())
         target = config.target(len(base))
-        if small:
-            merges = bpe.learn_on_driver(_words(kept, symbols), set(base), target, config.min_pair_freq)
+        if held is not None:
+            merges = bpe.learn_on_driver([(list(p), f) for p, f in held], set(base), target, config.min_pair_freq)
         else:
             merges = bpe.learn_distributed(kept.select(symbols.alias("syms"), "freq"), set(base), target, config.min_pair_freq)
         tokens = [*base, *("".join(m) for m in merges)]
@@ -80,18 +93,20 @@ def _count_key(config: TrainConfig, sources: list[inputs.InputSource]) -> str:
 
 def train(config: TrainConfig, inputs_: list[str] | None = None, spark: SparkSession | None = None) -> Trained:
     """Learns a tokenizer from files and writes it. With ``resume`` the counts are kept in ``chunk_dir`` as Parquet, by a
-    hash of all that they depend on, and taken from there by a later run."""
+    hash of all that they depend on, and taken from there by a later run; it may be a URI. ``prescan_records`` writes
+    progress to stderr; records are counted as they are read, without a scan of their own."""
     config = copy.copy(config)
     if inputs_:
         config.input_entries = list(inputs_)
     spark = spark or SparkSession.builder.getOrCreate()
-    sources = inputs.resolve(config.input_entries, config.data_glob, config.data_list)
-    place = os.path.join(os.path.abspath(config.chunk_dir), f"counts-{_count_key(config, sources)}")
-    if not (config.resume and os.path.exists(os.path.join(place, "_SUCCESS"))):
-        texts = readers.read(spark, sources, config.text_field)
-        if config.prescan_records:
-            readers.count_records(texts)
-        counts.piece_counts(counts.prepared(texts, config.max_chars_per_doc), config.trainer).write.mode("overwrite").parquet(place)
-    out = learn(spark.read.parquet(place), config)
+    sources = inputs.resolve(config.input_entries, config.data_glob, config.data_list, inputs.cache_for(spark))
+    place = files.join(files.absolute(config.chunk_dir), f"counts-{_count_key(config, sources)}")
+    with progress(spark, "train", config.progress_interval_ms if config.prescan_records else 0):
+        if not (config.resume and files.exists(files.join(place, "_SUCCESS"))):
+            texts, seen = readers.observed(readers.read(spark, sources, config.text_field), config.max_chars_per_doc)
+            counts.piece_counts(counts.prepared(texts, config.max_chars_per_doc), config.trainer).write.mode("overwrite").parquet(place)
+            files.write_text(files.join(place, "_records.json"), json.dumps(seen.get))
+        out = learn(spark.read.parquet(place), config)
+    out.records = json.loads(files.read_text(files.join(place, "_records.json")) or "{}")
     model_file.save(config, out.tokens, out.merges, out.scores)
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtok.functions import text as T
@@ -12,8 +12,9 @@ from loomtok.functions.chars import BYTE_CHARS, RE2_CLASS
 from loomtok.operators import bpe, counts, unigram
 from loomtok.operators.encode import Model, decode_column, encode_column
 from loomtok.plans.config import TrainConfig, TrainerKind
-from loomtok.plans.dataset import in_shards, placed
-from loomtok.plans.tokenizer import offsets
+from loomtok.plans.dataset import file_totals, in_shards, kept_text, pending, placed
+from loomtok.plans.tokenizer import offsets, token_ids
+from loomtok.plans.training import Trained, learn
 from loomtok.sources import readers
 from loomtok.sources.shared import settled, spread
 
@@ -98,7 +99,7 @@ def prefix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PIECE_COUNTS)
 def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.counted(T.byte_pieces("text"), _rows(spark, sf_dir))
+    return counts.counted(_rows(spark, sf_dir))
 
 
 @query(_WORD_COUNTS)
@@ -114,7 +115,7 @@ def bytelevel_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {encoded('piece')} AS piece, freq FROM ({_PIECE_COUNTS} ORDER BY freq DESC, encode(piece) LIMIT 200)")
 def topk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 most frequent byte-level pieces; the order of raw pieces breaks ties."""
-    return counts.top_pieces(counts.counted(T.byte_pieces("text"), _rows(spark, sf_dir)), 200).select(T.byte_encode("piece").alias("piece"), "freq")
+    return counts.top_pieces(counts.counted(_rows(spark, sf_dir)), 200).select(T.byte_encode("piece").alias("piece"), "freq")
 
 
 @query(f"SELECT piece, freq FROM ({_WORD_COUNTS}) WHERE freq >= 2")
@@ -166,12 +167,14 @@ def unigram_seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seeds(spark, sf_dir)
 
 
-@query(f"""WITH s AS ({_SEEDS}), t AS (SELECT token, freq + 1e-6 AS weight FROM (SELECT *, row_number() OVER (ORDER BY freq DESC, encode(token)) AS n FROM s) WHERE n <= 2000)
-SELECT token, round(ln(weight / sum(weight) OVER ()), 8) AS logp FROM t""")
+def _logp(seeds: str) -> str:
+    return f"SELECT token, round(ln((freq + 1e-6) / (sum(freq) OVER () + count(*) OVER () * 1e-6)), 8) AS logp FROM ({seeds})"
+
+
+@query(_logp(_SEEDS))
 def unigram_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 2000 most frequent seeds with their normalised log-probability, a report of the top of the seed table."""
-    top = _seeds(spark, sf_dir).orderBy(F.desc("freq"), "token").limit(2000).withColumn("weight", F.col("freq") + F.lit(1e-6))
-    return top.select("token", F.round(F.log(F.col("weight") / F.sum("weight").over(Window.partitionBy())), 8).alias("logp"))
+    """All of these seeds with their normalised log-probability."""
+    return unigram.normalised(_seeds(spark, sf_dir)).select("token", F.round("logp", 8).alias("logp"))
 
 
 UNIGRAM_CONFIG = TrainConfig(trainer=TrainerKind.unigram)
@@ -189,15 +192,13 @@ def unigram_all_seed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH s AS MATERIALIZED ({_ALL_SEEDS}), r AS (SELECT count(*) AS n FROM s WHERE required),
 t AS (SELECT token, freq FROM (SELECT *, row_number() OVER (PARTITION BY required ORDER BY freq DESC, encode(token)) AS k FROM s), r WHERE required OR k <= greatest(greatest(49999, n) * 4, n + 32) - n)
-SELECT token, round(ln((freq + 1e-6) / (sum(freq) OVER () + count(*) OVER () * 1e-6)), 8) AS logp FROM t""")
+{_logp("SELECT * FROM t")}""")
 def unigram_seed_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seed table that the trainer starts from by default, with all characters, and its normalised log-probabilities."""
     c = UNIGRAM_CONFIG
     words = settled(counts.frequent(_words(spark, sf_dir), c.min_freq))
     seeds = unigram.seed(words, c.vocab_size - len(c.specials()), c.min_freq, c.max_token_length, c.unigram_seed_multiplier)
-    every = Window.partitionBy()  # the seed table has the size of a vocabulary, whatever the data
-    total = F.sum("freq").over(every) + F.count("*").over(every) * F.lit(1e-6)  # of integers, so in any order the same
-    return seeds.select("token", F.round(F.log((F.col("freq") + F.lit(1e-6)) / total), 8).alias("logp"))
+    return unigram.normalised(seeds).select("token", F.round("logp", 8).alias("logp"))
 
 
 # ---- merges and encoding --------------------------------------------------------------------------------------------
@@ -276,9 +277,24 @@ UNIGRAM_MODEL = Model("Unigram", {}, scores=[*((c, -8.0 - k / 64) for k, c in en
 UNIGRAM_MODEL.vocab = {t: i for i, (t, _) in enumerate(UNIGRAM_MODEL.scores)}
 
 
-@query()
+def _unigram_sql() -> str:
+    """The dynamic program letter by letter; of the best sums and their ids the last three are enough for tokens of three letters."""
+    model = UNIGRAM_MODEL
+    scores = "MAP {" + ", ".join(f"'{t}': {s}" for t, s in model.scores) + "}"
+    ids = "MAP {" + ", ".join(f"'{t}': {i}" for t, i in model.vocab.items()) + "}"
+    ends = [f"substr(piece, j - {k - 2}, {k})" if k > 1 else "substr(piece, j + 1, 1)" for k in (1, 2, 3)]
+    sums = [f"best[{4 - k}] + s[{ends[k - 1]}]" if k == 1 else f"CASE WHEN j >= {k - 1} THEN best[{4 - k}] + s[{ends[k - 1]}] END" for k in (1, 2, 3)]
+    return f"""WITH RECURSIVE w AS MATERIALIZED (SELECT piece FROM ({_WORD_COUNTS})), t AS MATERIALIZED (SELECT {scores} AS s, {ids} AS d),
+r(piece, j, best, path) AS (SELECT piece, 0, [NULL, NULL, CAST(0 AS DOUBLE)], [NULL, NULL, ''] FROM w WHERE regexp_full_match(piece, '[a-z]+') UNION ALL
+ SELECT piece, j + 1, [best[2], best[3], greatest(c1, coalesce(c2, c1), coalesce(c3, c1))],
+  [path[2], path[3], CASE WHEN c3 >= greatest(c1, coalesce(c2, c1)) THEN path[1] || ' ' || d[{ends[2]}] WHEN c2 >= c1 THEN path[2] || ' ' || d[{ends[1]}] ELSE path[3] || ' ' || d[{ends[0]}] END]
+ FROM (SELECT r.*, t.d, {", ".join(f"{x} AS c{k + 1}" for k, x in enumerate(sums))} FROM r, t WHERE j < length(piece)))
+SELECT w.piece, coalesce(substr(f.path[3], 2), '') AS ids FROM w LEFT JOIN (SELECT piece, path FROM r WHERE j = length(piece)) f USING (piece)"""
+
+
+@query(_unigram_sql())
 def unigram_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best segmentations; a word with none gives nothing, since the model has no unknown token. No SQL: it is a dynamic program."""
+    """Best segmentations; a word with none gives nothing, since the model has no unknown token."""
     ids = encode_column(_words(spark, sf_dir), UNIGRAM_MODEL, ["piece"], "piece")
     return ids.select("piece", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -334,24 +350,25 @@ _VOCAB = f"SELECT piece AS token, row_number() OVER (ORDER BY freq DESC, encode(
 
 @query(f"WITH v AS ({_VOCAB}) SELECT piece, freq, id FROM ({_WORD_COUNTS}) LEFT JOIN v ON token = piece")
 def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word with its id in a vocabulary of the 1000 most frequent, null for others. The vocabulary's size is fixed, so it is broadcast."""
-    words = _words(spark, sf_dir)
-    top = counts.top_pieces(words, 1000)
-    vocab = top.select(F.col("piece").alias("token"), (F.row_number().over(Window.orderBy(F.desc("freq"), "piece")) - 1).cast("bigint").alias("id"))
-    return words.join(F.broadcast(vocab), F.col("piece") == F.col("token"), "left").select("piece", "freq", "id")
+    """Every word with its id in a vocabulary of the 1000 most frequent, null for others."""
+    words = settled(_words(spark, sf_dir))
+    top = [r.piece for r in counts.top_pieces(words, 1000).collect()]  # a vocabulary of a fixed size
+    return token_ids(words, Model("WordPiece", {t: i for i, t in enumerate(top)}, byte_level=False), "piece")
 
 
 @query("SELECT d.doc_id, d.n_chars FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id)")
 def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs that a manifest doesn't list, with documents and labels in these parts."""
-    done = _docs(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return _docs(spark, sf_dir).select("doc_id", "n_chars").join(done, "doc_id", "left_anti")
+    done = _docs(spark, sf_dir, "labels").where("quality = 1")
+    return pending(_docs(spark, sf_dir).select("doc_id", "n_chars"), done, ["doc_id"])
 
 
-@query("SELECT source, count(*) AS docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS tokens, count(*) FILTER (WHERE length(text) < 100) AS skipped FROM documents WHERE text <> '' GROUP BY source")
+@query("""SELECT source, count(*) FILTER (WHERE length(text) >= 100) AS docs, count(*) FILTER (WHERE length(text) < 100) AS skipped, count(*) FILTER (WHERE length(text) > 1000) AS truncated,
+CAST(coalesce(sum(octet_length(encode(left(text, 1000)))) FILTER (WHERE length(text) >= 100), 0) AS BIGINT) AS tokens FROM documents WHERE text <> '' GROUP BY source""")
 def per_file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).where(T.has_text("text"))
-    return docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).cast("bigint").alias("tokens"), F.count_if(~T.long_enough("text", 100)).alias("skipped"))
+    """What a dataset job says of its files, with sources as files."""
+    docs = spread(_docs(spark, sf_dir).select("source", "text")).where(T.has_text("text"))
+    return file_totals(encode_column(kept_text(docs, 100, 1000), BYTE_MODEL, ["source", "cut"]), "source")
 
 
 @query("SELECT item_id, text AS decoded FROM benchmark")
@@ -378,6 +395,43 @@ def decode_round_trip_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_column(ids, BYTE_BPE_MODEL, ["doc_id"])
 
 
+def _trained(spark: SparkSession, sf_dir: str, kind: TrainerKind) -> tuple[TrainConfig, Trained]:
+    config = TrainConfig(trainer=kind)
+    texts = counts.prepared(_docs(spark, sf_dir).select("text"), config.max_chars_per_doc)
+    return config, learn(settled(counts.piece_counts(spread(texts), kind)), config)
+
+
+def _vocabulary(spark: SparkSession, found: Trained) -> DataFrame:
+    return spark.createDataFrame([(i, t, round(s, 8)) for i, (t, s) in enumerate(zip(found.tokens, found.scores, strict=True))], "id bigint, token string, score double")
+
+
+@query()
+def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All merges that the trainer learns by default from documents. No SQL: each merge follows from the one before."""
+    _, found = _trained(spark, sf_dir, TrainerKind.byte_bpe)
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(found.merges)], "rank int, left string, right string")
+
+
+@query()
+def wordpiece_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary that the WordPiece trainer learns by default from documents."""
+    return _vocabulary(spark, _trained(spark, sf_dir, TrainerKind.wordpiece)[1])
+
+
+@query()
+def unigram_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary and scores that the Unigram trainer learns by default from documents."""
+    return _vocabulary(spark, _trained(spark, sf_dir, TrainerKind.unigram)[1])
+
+
+@query("SELECT doc_id, text AS decoded FROM documents")
+def bpe_train_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded with a vocabulary that was learned from them by default, and decoded."""
+    config, found = _trained(spark, sf_dir, TrainerKind.byte_bpe)
+    model = Model("BPE", {t: i for i, t in enumerate(found.tokens)}, found.merges, unk_token=config.unk_token)
+    return decode_column(encode_column(spread(_docs(spark, sf_dir).select("doc_id", "text")), model, ["doc_id"]), model, ["doc_id"])
+
+
 @query(f"SELECT conv_id, turn, {encoded('text')} AS text FROM conversations")
 def byte_encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "conversations").select("conv_id", "turn", T.byte_encode("text").alias("text"))

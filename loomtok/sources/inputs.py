@@ -1,4 +1,4 @@
-"""Inputs by name: files, globs, lists, file URLs and HTTP, resolved on the driver to distinct paths."""
+"""Inputs by name: files, globs, lists, URLs of files, HTTP and shared file systems, resolved on the driver to distinct paths."""
 
 from __future__ import annotations
 
@@ -8,7 +8,11 @@ import re
 import urllib.parse
 import urllib.request
 from dataclasses import dataclass
-from pathlib import Path
+
+from pyarrow import fs
+
+from loomtok.sources import files
+from loomtok.sources.shared import ensure_folder
 
 SUFFIXES = (".json.gz", ".jsonl.gz", ".json.xz", ".jsonl.xz", ".json", ".jsonl", ".ndjson", ".parquet")
 
@@ -35,7 +39,15 @@ def glob(pattern: str) -> list[str]:
     """Regular files that match: ``*`` is any text, slashes included, ``?`` one character. Sorted."""
     wild = re.search(r"[*?]", pattern)
     if not wild:
-        return [pattern] if os.path.exists(pattern) else []
+        return [pattern] if files.exists(pattern) else []
+    if files.scheme(pattern) not in ("", "file"):
+        base, (_, root) = pattern[: wild.start()].rpartition("/")[0], files.at(pattern[: wild.start()].rpartition("/")[0])
+        match = re.compile("".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in pattern), re.S).fullmatch
+        found = [base + f.path[len(root) :] for f in files.listed(base, deep=True)]
+        return sorted(p for p in found if match(p))
+    if files.scheme(pattern):
+        pattern = files.file_url(pattern)
+        wild = re.search(r"[*?]", pattern)
     base = pattern[: wild.start()].rpartition("/")[0] or ("/" if pattern.startswith("/") else ".")
     match = re.compile("".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in pattern), re.S).fullmatch
     found = [os.path.join(folder, name) for folder, _, names in os.walk(base) for name in names]
@@ -57,33 +69,32 @@ def is_url(name: str) -> bool:
     return name.startswith(("http://", "https://"))
 
 
-def file_url(url: str) -> str:
-    path = urllib.parse.unquote_plus(url[len("file://") :])
-    path = path[len("localhost") :] if path.startswith("localhost/") else path
-    return path[1:] if re.match(r"/[A-Za-z]:[/\\]", path) else path
-
-
 def download(url: str, cache_dir: str) -> str:
-    """A file of the cache for ``url``; one that is there already is taken as it is."""
+    """A file of the cache, a path or URI, for ``url``; one that is there already is taken as it is."""
     path = urllib.parse.urlsplit(url).path
     suffix = next((s for s in SUFFIXES if path.endswith(s)), os.path.splitext(path)[1])
-    target = Path(cache_dir) / f"remote_{hashlib.sha256(url.encode()).hexdigest()[:16]}{suffix}"
-    if not target.exists():
-        target.parent.mkdir(parents=True, exist_ok=True)
-        part = target.with_name(target.name + ".part")
-        with urllib.request.urlopen(url, timeout=300) as response, part.open("wb") as out:
+    target = files.join(cache_dir, f"remote_{hashlib.sha256(url.encode()).hexdigest()[:16]}{suffix}")
+    if not files.exists(target):
+        files.make_folder(cache_dir)
+        with urllib.request.urlopen(url, timeout=300) as response, files.created(target + ".part") as out:
             while block := response.read(1 << 20):
                 out.write(block)
-        part.rename(target)
-    return str(target)
+        files.renamed(target + ".part", target)
+    return target
+
+
+def cache_for(spark) -> str:
+    """Where downloads go so that executors reach them: a folder here for a local master, else one in the shared folder."""
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    return "cache/inputs" if local else files.join(ensure_folder(spark), "inputs")
 
 
 def list_entries(ref: str, cache_dir: str) -> list[str]:
     """Entries of a list file, one a line without comments, relative ones taken from the list's own place."""
-    path = download(ref, cache_dir) if is_url(ref) else file_url(ref) if ref.startswith("file://") else ref
-    base = ref.rpartition("/")[0] + "/" if is_url(ref) else os.path.dirname(os.path.abspath(path)) + "/"
+    path = download(ref, cache_dir) if is_url(ref) else files.absolute(ref)
+    base = (ref if is_url(ref) else path).rpartition("/")[0] + "/"
     out = []
-    for line in Path(path).read_text("utf-8").split("\n"):
+    for line in files.read_bytes(path).decode("utf-8").split("\n"):
         entry = line.rstrip("\r").strip()
         if entry and not entry.startswith("#"):
             absolute = "://" in entry or entry.startswith(("/", "\\")) or re.match(r"[A-Za-z]:[/\\]", entry)
@@ -92,7 +103,10 @@ def list_entries(ref: str, cache_dir: str) -> list[str]:
 
 
 def resolve(entries: list[str] = (), data_glob: str = "", data_list: str = "", cache_dir: str = "cache/inputs") -> list[InputSource]:
-    """Distinct sources in order. Entries come before a list, and that before a glob. What is missing is an error."""
+    """Distinct sources in order. Entries come before a list, and that before a glob. What is missing is an error.
+
+    Names with a scheme other than http and https are on a shared file system that both Arrow and Spark reach.
+    """
     names: list[str] = []
     if entries:
         for e in entries:
@@ -107,10 +121,11 @@ def resolve(entries: list[str] = (), data_glob: str = "", data_list: str = "", c
     out: dict[str, InputSource] = {}
     for name in names:
         remote = is_url(name)
-        path = download(name, cache_dir) if remote else file_url(name) if name.startswith("file://") else name
-        if not os.path.isfile(path):
+        local = files.scheme(name) in ("", "file")
+        path = download(name, cache_dir) if remote else name if not local else files.file_url(name) if files.scheme(name) else name
+        there = files.info(path)
+        if there.type != fs.FileType.File:
             raise FileNotFoundError(f"input not found: {name}")
-        stat = os.stat(path)
-        key = name if remote else os.path.abspath(path).replace("\\", "/")
-        out.setdefault(key, InputSource(name, path, key, stat.st_size, int(stat.st_mtime), remote))
+        key = name if remote else files.absolute(path).replace("\\", "/")
+        out.setdefault(key, InputSource(name, path, key, there.size, int(there.mtime.timestamp()) if there.mtime else 0, remote))
     return list(out.values())

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomtok.functions import text as T
-from loomtok.plans.dataset import _replace, dtype_of, in_shards, placed, write_shards
+from loomtok.plans.dataset import dtype_of, in_shards, placed, write_shards
 from loomtok.plans.tokenizer import Tokenizer
+from loomtok.sources import files
 
 
 def texts(spark: SparkSession, folder: str, field: str = "text", kind: str = "parquet", schema: str | None = None, per_batch: int = 100) -> DataFrame:
@@ -40,20 +39,18 @@ def to_shards(stream: DataFrame, tokenizer: Tokenizer, out_dir: str, checkpoint:
     A batch's beginning in the token stream is written with its number before the next one may begin, so a batch that is
     run again begins at the same place and writes the same files.
     """
-    out, dtype = Path(out_dir).absolute(), dtype_of(tokenizer.vocab_size)
-    state = out / "state.json"
+    out, dtype = files.absolute(out_dir), dtype_of(tokenizer.vocab_size)
+    state = files.join(out, "state.json")
 
     def batch(rows: DataFrame, number: int) -> None:
-        now = json.loads(state.read_text()) if state.exists() else {"batch": -1, "before": 0, "after": 0}
+        now = json.loads(files.read_text(state) or '{"batch": -1, "before": 0, "after": 0}')
         base = now["before"] if now["batch"] == number else now["after"]
         ids = encoded(rows, tokenizer, min_chars, max_chars, "", eos_token)
-        staged = str(out / f"staged-{number}")
+        staged = files.join(out, f"staged-{number}")
         ids.select(F.lit(0).alias("file_idx"), F.spark_partition_id().cast("bigint").alias("part"), F.monotonically_increasing_id().alias("pos"), "ids").write.mode("overwrite").parquet(staged)
-        written = write_shards(in_shards(placed(rows.sparkSession.read.parquet(staged), base), per_shard), str(out / "shards"), np.dtype(dtype), base, per_shard)
+        written = write_shards(in_shards(placed(rows.sparkSession.read.parquet(staged), base), per_shard), files.join(out, "shards"), np.dtype(dtype), base, per_shard)
         after = base + sum(written.values()) - (base % per_shard if base // per_shard in written else 0)
-        _replace(state, json.dumps({"batch": number, "before": base, "after": after}))
-        for name in os.listdir(staged):
-            os.unlink(os.path.join(staged, name))
-        os.rmdir(staged)
+        files.write_text(state, json.dumps({"batch": number, "before": base, "after": after}))
+        files.remove(staged)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

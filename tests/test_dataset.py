@@ -17,7 +17,7 @@ from loomtok.streaming import streams
 def job(tmp_path):
     model = tmp_path / "t.json"
     model.write_text(json.dumps({"model": {"type": "BPE", "vocab": {**{c: b for b, c in enumerate(BYTE_CHARS)}, "<|endoftext|>": 256}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel"}}))
-    for name, texts in (("a", ["hello", "", "x", "wörld"]), ("b", ["river delta " * 3])):
+    for name, texts in (("a", ["hello", "", "x", "wörld"]), ("b", ["river bank " * 3])):
         (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"text": t}) + "\n" for t in texts))
     args = TokenizeArgs(env_file=str(tmp_path / "no.env"), tokenizer_path=str(model), out_dir=str(tmp_path / "out"), max_tokens_per_shard=8, min_chars=2)
     return args, tmp_path
@@ -33,7 +33,7 @@ def expected(texts, size=8):
     return [flat[k : k + size] for k in range(0, len(flat), size)] or [[]]
 
 
-ALL = ["hello", "wörld", "river delta " * 3]
+ALL = ["hello", "wörld", "river bank " * 3]
 
 
 def test_shards_and_manifest(spark, job):
@@ -82,7 +82,7 @@ def test_files_as_arrays(spark, job):
 
 def test_command_line(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
-    (tmp_path / "s.jsonl").write_text('{"text":"hello world"}\n{"text":"river delta"}\n')
+    (tmp_path / "s.jsonl").write_text('{"text":"hello world"}\n{"text":"river bank"}\n')
     (tmp_path / ".env").write_text("VOCAB_SIZE=64\nMIN_FREQ=9\n")
     assert cli.main(["train", "s.jsonl", "--min-freq", "1", "--min-pair-freq", "1", "--chunk-dir", "chunks"]) == 0
     assert len(json.loads((tmp_path / "vocab.json").read_text())) == 257 and (tmp_path / "merges.txt").read_text() == "#version: 0.2\n"
@@ -106,4 +106,4 @@ def test_running_counts(spark, job):
     _, folder = job
     q = streams.running_counts(streams.texts(spark, f"{folder}/*.jsonl", kind="json"), False).writeStream.format("memory").queryName("counts_now").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.piece: r.freq for r in spark.table("counts_now").collect()} == {"hello": 1, "x": 1, "wörld": 1, "river": 3, "delta": 3}
+    assert {r.piece: r.freq for r in spark.table("counts_now").collect()} == {"hello": 1, "x": 1, "wörld": 1, "river": 3, "bank": 3}
