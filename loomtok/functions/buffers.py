@@ -11,15 +11,13 @@ from loomtok.functions.chars import WHITESPACE
 
 #: Bytes of text that are cut at once.
 BLOCK_BYTES = 4_000_000
-_ASCII_SPACE = np.zeros(256, bool)
-_ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: White space of two and of three bytes, by its first byte.
 _WIDE = [c.encode() for c in WHITESPACE if ord(c) > 127]
 
 
 def spaces(data: np.ndarray) -> np.ndarray:
     """Which bytes of UTF-8 text belong to white space."""
-    out = _ASCII_SPACE[data]
+    out = (data - np.uint8(9) < 5) | (data == 32)  # 9 to 13, and the space
     if data.max(initial=0) < 128:
         return out
     for lead in {w[0] for w in _WIDE}:

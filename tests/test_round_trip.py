@@ -2,7 +2,7 @@
 
 import pytest
 from loomtok import queries
-from loomtok.operators.encode import decode_column, encode_column
+from loomtok.operators.encode import Encoder, Model, decode_column, encode_column
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +18,24 @@ def test_awkward_texts_survive_a_round_trip(spark):
 @pytest.mark.parametrize("name", ["bos_eos_wrap_docs", "decode_round_trip_docs"])
 def test_every_document_is_there(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_decoding_words():
+    wordpiece = Encoder(Model("WordPiece", {t: i for i, t in enumerate(["[UNK]", "un", "##aff", "##able", "a"])}, unk_token="[UNK]", byte_level=False))
+    assert wordpiece.encode("unaffable a zz") == [1, 2, 3, 4, 0]
+    assert wordpiece.decode([1, 2, 3, 4, 0]) == "unaffable a [UNK]" and wordpiece.decode([2, 1]) == "##aff un" and wordpiece.decode([]) == ""
+    unigram = Encoder(Model("Unigram", {"ab": 0, "c": 1}, scores=[("ab", -1.0), ("c", -2.0)], byte_level=False))
+    assert unigram.encode("abc cab") == [0, 1, 1, 0] and unigram.decode([0, 1, 9, 1, 0]) == "abccab"
+
+
+def test_a_unigram_vocabulary_without_scores_counts_tokens(tmp_path):
+    """Each token scores -1 then, so that the fewest win, and of as many those whose first is found first."""
+    import json
+
+    from loomtok.plans import model_file
+
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"model": {"type": "Unigram", "vocab": {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}}, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+    encoder = Encoder(model_file.load(str(path)))
+    assert encoder.encode("aba abab ababa b") == [4, 2, 2, 2, 4, 1]
+    assert len(encoder.encode("ababa")) == 2 and encoder.encode("abc") == []
