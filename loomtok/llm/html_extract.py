@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 #: What isn't text: comments, declarations, and elements whose body is code. An unclosed one reaches to the end.
 MARKUP = re.compile(r"(<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template)\b.*?(?:</(?:script|style|noscript|template)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z))", re.S | re.I)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+ITEMS, LISTS = frozenset(("li", "td", "dd")), frozenset(("ul", "ol", "tr", "dl"))
 BLOCKS = frozenset("p br div article section h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre header footer nav aside main title figure form hr dl dt dd".split())
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
-    """(kind, text): kind "" for text between tags, "-" for what isn't shown, else the tag's lower-case name, closing tags with a slash."""
+    """(kind, text): kind "" for text between tags, "-" for what isn't shown, else the tag's lower-case name, closing tags with a slash.
+
+    A link that is alone between tags has an @ after its name, and so has an item or cell that begins or ends with one,
+    and a list that begins or ends with such an item: these make menus, while other links and lists may be content.
+    """
     out = []
     for k, part in enumerate(MARKUP.split(page)):
         if not part:
@@ -32,6 +37,19 @@ def tokens(page: str) -> list[tuple[str, str]]:
             out.append(("-" if name in ("script", "style", "noscript", "template") else "/" + name if part[1] == "/" else name, part))
         else:
             out.append(("-", part))
+    shown = [k for k, (kind, text) in enumerate(out) if kind or not text.isspace()]
+    kinds = ["/", *(out[k][0] for k in shown), "/"]  # the page's ends are like tags
+    for i, kind in enumerate(kinds):
+        if kind == "a" and kinds[i - 1]:
+            end = next((j for j in range(i + 1, min(i + 8, len(kinds))) if kinds[j] == "/a"), 0)
+            if end and kinds[end + 1]:
+                kinds[i] = kinds[end] = "@"
+    menu = {i for i, kind in enumerate(kinds) if kind == "@"}
+    for names in (ITEMS, LISTS):
+        menu |= {i for i, kind in enumerate(kinds) if kind in names and i + 1 in menu or kind[1:] in names and kind[0] == "/" and i - 1 in menu}
+    for i in menu:
+        k = shown[i - 1]
+        out[k] = (out[k][0] + "@", out[k][1])
     return out
 
 
@@ -56,7 +74,21 @@ def labelled_pages(seed: int = 11, pages: int = 60) -> list[tuple[str, str]]:
                 body = body.replace(" ", f' <a href="/{word()}">{text(2)}</a> ', 1)
             elif roll < 0.4:
                 body += "<br>" + text(20)
+            elif roll < 0.5:
+                body = body.replace(" ", f" {r.choice(['<em>{}</em>', '<i>{}</i>', '<strong>{}</strong>', '<span>{}</span>', '<code>{}</code>', '<img src=x>{}', '<sup>{}</sup>'])} ".format(text(1)), 1)
             parts.append(f"<p>{body}</p>" if r.random() < 0.9 else f"<h2>{text(4)}</h2><p><b>{body}<br>")
+            if r.random() < 0.3:
+                cells = [text(r.randint(2, 25)) for _ in range(r.randint(2, 7))]
+                parts.append(r.choice([
+                    "<ul>" + "".join(f"<li>{c}</li>" for c in cells) + "</ul>",
+                    "<ol>" + "".join(f"<li>{c}</li>" for c in cells) + "</ol>",
+                    "<table>" + "".join(f"<tr><th>{text(1)}</th><td>{c}</td></tr>" for c in cells) + "</table>",
+                    f"<blockquote><p>{' '.join(cells)}</p></blockquote>",
+                    f"<pre><code>{cells[0]}</code></pre>",
+                    f"<figure><img src=x><figcaption>{cells[0]}</figcaption></figure>",
+                    "<dl>" + "".join(f"<dt>{text(1)}</dt><dd>{c}</dd>" for c in cells) + "</dl>",
+                    f"<h3>{text(3)}</h3>",
+                ]))
         content = "".join(parts)
         inner = r.choice([f"<article>{content}</article>", f"<main><article>{content}</article></main>", f'<div class="content">{content}</div>', f"<section>{content}</section>"])
         extra = r.choice(["", f'<div class="ad">{text(r.randint(3, 14))}</div>', f"<aside><h3>{text(2)}</h3>{links(4)}</aside>", f"<form><input><button>{text(1)}</button></form>"])
@@ -129,9 +161,10 @@ def scores(parts: list[tuple[str, str]], weights: dict[str, int]) -> list[int]:
         if not kind:
             out.append(word * len(text.split()))
         else:
-            out.append(weights.get(kind, other))
+            plain = kind.rstrip("@")
+            out.append(weights.get(kind, weights.get(plain, other)))
             if kind != "-":
-                word = weights.get("#" + kind, weights["#"])
+                word = weights.get("#" + kind, weights.get("#" + plain, weights["#"]))
     return out
 
 
@@ -145,7 +178,7 @@ def extract(page: str | None, weights: dict[str, int]) -> str | None:
     for kind, text in parts[start:end]:
         if not kind:
             out.append(text.replace("\n", " "))
-        elif kind.lstrip("/") in BLOCKS:
+        elif kind.strip("/@") in BLOCKS:
             out.append("\n")
     lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line)

@@ -73,3 +73,22 @@ def test_awkward_pages(spark):
     assert H.html_extraction(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
     own = spark.createDataFrame([("<nav>a b</nav><p>c d e f</p>", "<p>c d e f</p>")], "html string, content string")
     assert H.html_extraction(spark.createDataFrame([(1, "u", "<nav>a b</nav><p>c d e f</p>")], "page_id bigint, url string, html string"), own).first().text == "c d e f"
+
+
+@pytest.mark.parametrize("block", ["<ul>" + "<li>a point of some words in a list</li>" * 6 + "</ul>", "<ol>" + "<li>short point</li>" * 4 + "</ol>", "<table>" + "<tr><th>name</th><td>some words here</td></tr>" * 5 + "</table>", "<blockquote><p>what someone said once</p></blockquote>", "<pre><code>x = 1</code></pre>", "<figure><img src=a><figcaption>what it shows</figcaption></figure>"])
+def test_content_goes_on_after_a_block_in_its_middle(weights, block):
+    before, after = ("word " * 60).strip(), ("later " * 60).strip()
+    menu = "<ul>" + '<li><a href="/x">go here</a></li>' * 8 + "</ul>"
+    page = f"<html><body><nav>{menu}</nav><article><h1>A title</h1><p>{before}</p>{block}<p>{after}</p></article><aside>{menu}</aside><footer>all rights</footer></body></html>"
+    got = H.extract(page, weights)
+    assert before in got and after in got and "go here" not in got and len(got.split("\n")) >= 3
+
+
+def test_of_equal_regions_the_first_to_end_and_the_shortest():
+    import itertools
+
+    for scores in itertools.product([-1, 0, 1, 2], repeat=5):
+        runs = [(sum(scores[a:b]), a, b) for a in range(5) for b in range(a + 1, 6)]
+        best = max(s for s, *_ in runs)
+        want = min(((b, b - a, (a, b)) for s, a, b in runs if s == best), default=None)[2] if best > 0 else (0, 0)
+        assert H.best_region(list(scores)) == want, scores
