@@ -1,8 +1,10 @@
 import random
+import struct
 
 import pytest
 from loomtok.llm import queries
-from loomtok.llm.sentencepiece_fst import BLANK, DEFAULT_MODEL, UNIGRAM, Model, Transducer, read_model, sentencepiece
+from loomtok.llm import sentencepiece_fst as module
+from loomtok.llm.sentencepiece_fst import BLANK, DEFAULT_MODEL, UNIGRAM, Model, Transducer, _fields, parse_model, read_model, sentencepiece, shortest
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +74,90 @@ def test_awkward_rows(clashing, awkward_rows, library):
 
 def test_empty_table(empty):
     assert sentencepiece(empty).count() == 0
+
+
+# ---- models put together here, and the library's own reading of them ------------------------------------------------
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes((n & 127 | 128,))
+        n >>= 7
+    return out + bytes((n,))
+
+
+def field(number, value):
+    if isinstance(value, bytes):
+        return varint(number << 3 | 2) + varint(len(value)) + value
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3) + varint(int(value))
+
+
+def proto(pieces, kind, charsmap=b"", prefix=True, squeeze=True, escape=True, fallback=False):
+    out = b"".join(field(1, field(1, p.encode()) + field(2, float(s)) + field(3, t)) for p, s, t in pieces)
+    out += field(2, field(3, kind) + field(4, len(pieces)) + field(35, fallback))
+    return out + field(3, field(1, b"own") + field(2, charsmap) + field(3, prefix) + field(4, squeeze) + field(5, escape))
+
+
+def charsmap_of(name):
+    """A character map that the library brings, as it writes it."""
+    import sentencepiece as spm
+
+    data = spm.SentencePieceNormalizer(rule_name=name).serialized_model_proto()
+    return dict(_fields(dict(_fields(data))[3]))[2]
+
+
+def own_pieces(seed, user=(), fallback=False, kind=UNIGRAM):
+    r = random.Random(seed)
+    letters = [BLANK, *"abcdehiorst1fié漢"]
+    longer = sorted({"".join(r.choice(letters[1:]) for _ in range(r.randint(2, 4))) for _ in range(60)} | {BLANK + "".join(r.choice(letters[1:]) for _ in range(r.randint(1, 3))) for _ in range(40)})
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((u, 0.0, 4) for u in user)]
+    if fallback:
+        pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    made = [*dict.fromkeys(letters), *longer]
+    r.shuffle(made)
+    scores = [-(k + 1.0) for k in range(len(made))] if kind == 2 else [-1 - r.random() * 9 for _ in made]
+    return [*pieces, *((p, s, 1) for p, s in zip(made, scores, strict=True))]
+
+
+TEXTS = [*"abcdehiorst  ", "  ", "\n", "\t", "é", "e\u0301", "漢", "😀", "1", "①", "ﬁ", "Ａ", "\u00a0", "\u3000", BLANK, "\x00", "\u200b", "¨", "ｶﾞ", "<sep>", "<s", "ab"]
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("rule", ["identity", "nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_models_with_character_maps_equal_the_library(kind, rule, squeeze):
+    import sentencepiece as spm
+
+    charsmap = charsmap_of(rule)
+    for seed, (user, fallback) in enumerate([((), False), ((), True), (("<sep>", "ab"), False), (("<sep>",), True)]):
+        data = proto(own_pieces(seed, user, fallback, kind), kind, charsmap, seed % 2 == 0, squeeze, fallback=fallback)
+        own, library = Transducer(parse_model(data)), spm.SentencePieceProcessor(model_proto=data)
+        r = random.Random(seed)
+        for _ in range(400):
+            text = "".join(r.choice(TEXTS) for _ in range(r.randint(0, 20)))
+            assert own.normalise(text) == library.normalize(text), repr(text)
+            assert own.encode(text) == library.encode(text), repr(text)
+
+
+def test_composing_first_gives_the_same_paths(fst):
+    r = random.Random(5)
+    own = [Transducer(parse_model(proto(own_pieces(k, ("<sep>", "ab"), k % 2, kind), kind, fallback=k % 2))) for k, kind in enumerate((1, 2, 1, 2))]
+    for t in [fst, *own]:
+        for _ in range(150):
+            text = t.normalise("".join(r.choice(TEXTS) for _ in range(r.randint(0, 14))))
+            found = shortest(t.arcs(text), len(text))
+            if t.unknown in found:
+                found = [x for k, x in enumerate(found) if x != t.unknown or k == 0 or found[k - 1] != x]
+            assert found == t.path(text), repr(text)
+
+
+def test_what_workers_remember_is_bounded(fst, monkeypatch):
+    monkeypatch.setattr(module, "MEMO", 50)
+    monkeypatch.setattr(module, "PAIRS", 40)
+    memo, r = {}, random.Random(3)
+    t = Transducer(read_model(DEFAULT_MODEL))
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(2000))
+    assert t.encode(text, memo) == fst.encode(text) and len(memo) <= 50 and len(t.pairs) <= 40
