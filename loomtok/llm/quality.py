@@ -123,12 +123,14 @@ class LabelModel:
 
 #: What is believed of a rule before any vote is seen: this accuracy, as firmly as after so many votes in each class.
 BELIEF, FIRMNESS = 0.8, 10.0
+#: EM ends after so many rounds, or when no posterior moves by this much any more.
+ROUNDS, MOVED = 200, 1e-9
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns with their counts.
 
-    It starts from votes against a document only: junk of one kind looks well to the rules for other kinds. Ends when the posteriors move by less than 1e-9. No pattern gives a model of the beliefs alone.
+    It starts from votes against a document only: junk of one kind looks well to the rules for other kinds. Ends when the posteriors move by less than ``MOVED``. No pattern gives a model of the beliefs alone.
     """
     n_rules = patterns.shape[1]
     belief = np.array([[BELIEF, 1 - BELIEF], [1 - BELIEF, BELIEF]]) * FIRMNESS
@@ -143,7 +145,7 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelMode
         prior = (weight[1].sum() + 1) / (counts.sum() + 2)
         logs = np.einsum("prv,rcv->pc", hot, np.log(tables)) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
-        if np.abs(new - post).max() < 1e-9:
+        if np.abs(new - post).max() < MOVED:
             break
         post = new
     return LabelModel(float(prior), tables)
@@ -175,3 +177,35 @@ def stage(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     (name,) = fresh(docs, "__quality_votes")
     voted = settled(docs.withColumn(name, pattern(F.col("text"))))
     return voted.where(fit(voted, name).score(F.col(name)) >= threshold).select(*docs.columns)
+
+
+def _oracle() -> str:
+    """The votes, and EM over their patterns as a recursive query: a step is a row of sums over all patterns."""
+    rules = range(1, len(RULES) + 1)
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    sums = ", ".join(f"sum(cnt * {'post' if c else '(1 - post)'}) FILTER (WHERE v[{r}] = {s}) OVER () AS s{r}_{c}_{'p' if s > 0 else 'm'}" for r in rules for c in (0, 1) for s in (-1, 1))
+
+    def table(r: int, c: int, s: str) -> str:
+        weight = lambda k: f"(coalesce(s{r}_{c}_{k}, 0) + {(BELIEF if (k == 'p') == bool(c) else 1 - BELIEF) * FIRMNESS})"
+        return f"{weight(s)} / ({weight('m')} + {weight('p')})"
+
+    logit = " + ".join(f"CASE v[{r}] WHEN 1 THEN ln({table(r, 1, 'p')}) - ln({table(r, 0, 'p')}) WHEN -1 THEN ln({table(r, 1, 'm')}) - ln({table(r, 0, 'm')}) ELSE 0 END" for r in rules)
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS words FROM documents),
+m AS (SELECT doc_id, CAST(len(words) AS DOUBLE) AS n, CAST(length(text) AS DOUBLE) AS chars, length(regexp_replace(text, '[^A-Z\\x{{c0}}-\\x{{d6}}\\x{{d8}}-\\x{{de}}]', '', 'g')) AS capitals,
+ length(regexp_replace(text, '[^*#%&$|<>{{}}\\[\\]@~^=\\\\]', '', 'g')) AS symbols, length(regexp_replace(text, '[^!]', '', 'g')) AS shouts, length(regexp_replace(text, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS other,
+ len(list_distinct(words)) AS uniques, len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS repeats, len(list_filter(words, lambda w: w IN ({stops}))) AS stops FROM d),
+s AS (SELECT doc_id, n, chars, capitals / chars AS capitals, symbols / chars AS symbols, shouts / n AS shouts, other / chars AS other, CASE WHEN n > 1 THEN ln(uniques) / ln(n) END AS uniques, repeats / n AS repeats, stops / n AS stops, chars / n AS mean FROM m),
+r AS (SELECT doc_id, CASE WHEN n < 1 THEN [-1, 0, 0, 0, 0, 0, 0, 0, 0] ELSE [CASE WHEN n >= 50 THEN 1 ELSE 0 END,
+ CASE WHEN chars < 20 THEN 0 WHEN capitals > 0.3 THEN -1 WHEN capitals < 0.1 THEN 1 ELSE 0 END, CASE WHEN symbols > 0.03 THEN -1 WHEN symbols < 0.004 THEN 1 ELSE 0 END,
+ CASE WHEN shouts > 0.2 THEN -1 WHEN shouts = 0 THEN 1 ELSE 0 END, CASE WHEN other > 0.35 THEN -1 WHEN other < 0.26 THEN 1 ELSE 0 END,
+ CASE WHEN n < 20 THEN 0 WHEN uniques < 0.7 THEN -1 WHEN uniques > 0.8 THEN 1 ELSE 0 END, CASE WHEN n < 5 THEN 0 WHEN repeats > 0.2 THEN -1 WHEN repeats < 0.05 THEN 1 ELSE 0 END,
+ CASE WHEN stops < 0.04 AND n >= 20 THEN -1 WHEN stops > 0.12 THEN 1 ELSE 0 END, CASE WHEN (mean < 3 OR mean > 8.5) AND n >= 5 THEN -1 WHEN mean > 4.5 AND mean < 7.2 THEN 1 ELSE 0 END] END AS v FROM s),
+p AS MATERIALIZED (SELECT v, CAST(count(*) AS DOUBLE) AS cnt FROM r GROUP BY v),
+e(it, v, cnt, post, moved) AS (SELECT 0, v, cnt, 1 / (1 + exp(2.5 * len(list_filter(v, lambda x: x < 0)) - 3)), CAST(1 AS DOUBLE) FROM p UNION ALL
+ SELECT it + 1, v, cnt, new, max(abs(new - post)) OVER () FROM (SELECT it, v, cnt, post, 1 / (1 + exp(least(greatest(-(ln(prior) - ln(1 - prior) + {logit}), -700), 700))) AS new FROM (
+  SELECT *, (sum(cnt * post) OVER () + 1) / (sum(cnt) OVER () + 2) AS prior, {sums} FROM e WHERE it < {ROUNDS} AND moved >= {MOVED}))),
+f AS (SELECT v, post FROM e WHERE it = (SELECT max(it) FROM e))
+SELECT doc_id, array_to_string(list_transform(r.v, lambda x: CASE x WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '0' END), '') AS votes, round(post, 6) AS posterior, post >= 0.5 AS keep FROM r JOIN f ON r.v = f.v"""
+
+
+ORACLE = _oracle()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomtok.llm import chat, html_extract, line_dedup, packing, pii, quality, sentencepiece_fst, simhash, tiff, token_count
 from loomtok.llm.common import table
@@ -25,7 +26,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packing(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return packing.packing(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumn("posterior", F.round("posterior", 6))  # as far as two engines agree
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +58,4 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_line_dedup, op2_html_extraction, op3_sentencepiece, op4_packing, op5_tiff, op6_chat_formatting, op7_token_counts, op8_quality_rules, op9_pii, op10_simhash)
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_tiff": tiff.ORACLE, "op6_chat_formatting": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_tiff": tiff.ORACLE, "op6_chat_formatting": chat.ORACLE, "op8_quality_rules": quality.ORACLE}

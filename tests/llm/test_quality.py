@@ -86,6 +86,11 @@ def plain_em(rows, rounds=200):
     return score
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_equals_sql(spark, against_sql, folder):
+    against_sql(queries.op8_quality_rules(spark, folder), folder, queries.ORACLES["op8_quality_rules"])
+
+
 def test_query_equals_em_row_by_row(spark):
     rows = queries.op8_quality_rules(spark, "/root/testdata/sf0.001").collect()
     votes = [[{"+": 1, "-": -1, "0": 0}[c] for c in r.votes] for r in rows]
