@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtok.llm.common import fresh, set_text, settled
 
-SPACE = "[ \\t\\r\\f\\u000b\\u00a0]+"
+#: The blanks besides the space.
+BLANKS = "\t\r\f\x0b\xa0"
+SPACE = f"[ {BLANKS}]+"
 #: At most this many frequent lines (32 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_LINES = 1_000_000
 
@@ -15,8 +19,9 @@ _K1, _K2, _H1, _H2, _POS, _DOC, _FIRST, _DROP = "k1 k2 h1 h2 pos doc first drop"
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, runs of blanks as one space, none at the ends."""
-    return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
+    """Lower case, runs of blanks as one space, none at the ends. Only lines with something to replace go through the pattern."""
+    odd = functools.reduce(lambda a, b: a | b, (F.contains(line, F.lit(x)) for x in ("  ", *BLANKS)))
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line)))
 
 
 def _keys() -> tuple[Column, Column]:
