@@ -15,14 +15,14 @@ BLOCK_BYTES = 4_000_000
 _WIDE = [c.encode() for c in WHITESPACE if ord(c) > 127]
 
 
-def spaces(data: np.ndarray) -> np.ndarray:
-    """Which bytes of UTF-8 text belong to white space."""
+def spaces(data: np.ndarray, wide: list[bytes] = _WIDE) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space, ``wide`` being what is beyond ASCII."""
     out = (data - np.uint8(9) < 5) | (data == 32)  # 9 to 13, and the space
     if data.max(initial=0) < 128:
         return out
-    for lead in {w[0] for w in _WIDE}:
+    for lead in {w[0] for w in wide}:
         at = np.flatnonzero(data == lead)
-        for w in _WIDE:
+        for w in wide:
             if w[0] == lead and len(at):
                 here = at[at + len(w) <= len(data)]
                 for k in range(1, len(w)):

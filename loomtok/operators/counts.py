@@ -75,10 +75,9 @@ def pair_scores(words: DataFrame, symbols: str = "syms", frequencies: bool = Fal
 
 def seed_counts(counts: DataFrame, longest: int, min_freq: int = 1) -> DataFrame:
     """(token, freq, required): all characters, which are required, and all substrings of 2 to ``longest`` code points."""
-    kept = frequent(counts, min_freq)
-    single = kept.select(F.explode(T.code_points("piece")).alias("token"), "freq", F.lit(True).alias("required"))
-    longer = kept.select(F.explode(T.substrings("piece", longest)).alias("token"), "freq", F.lit(False).alias("required"))
-    return single.unionByName(longer).groupBy("token").agg(F.sum("freq").alias("freq"), F.max("required").alias("required"))
+    tokens = F.explode(F.concat(T.code_points("piece"), T.substrings("piece", longest)))
+    found = frequent(counts, min_freq).select(tokens.alias("token"), "freq").groupBy("token").agg(F.sum("freq").alias("freq"))
+    return found.withColumn("required", F.char_length("token") == 1)
 
 
 def filter_stats(texts: DataFrame, min_chars: int, max_chars: int, by: str | None = None, column: str = "text") -> DataFrame:

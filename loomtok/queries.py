@@ -150,7 +150,8 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH s AS ({_SYMBOL_COUNTS}), p AS ({_PAIR_COUNTS})
 SELECT p.l, p.r, p.freq, CAST(p.freq AS DOUBLE) / (CAST(a.freq AS DOUBLE) * CAST(b.freq AS DOUBLE)) AS score FROM p JOIN s a ON p.l = a.symbol JOIN s b ON p.r = b.symbol""")
 def wordpiece_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.pair_scores(_symbols(spark, sf_dir))
+    words = settled(_words(spark, sf_dir))  # read for pairs and for symbols, and the texts once
+    return counts.pair_scores(words.select(T.continued(T.code_points("piece"), "##").alias("syms"), "freq"))
 
 
 _SEEDS = f"""SELECT token, CAST(sum(freq) AS BIGINT) AS freq, length(token) = 1 AS required FROM (
