@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import fresh
+from loomtok.llm.common import fresh, on_worker
 from loomtok.llm.token_count import CHUNK, OVERLAP, Counter, load_ranks
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -61,7 +61,7 @@ def with_counts(turns: DataFrame, ranks_path: str, name: str) -> DataFrame:
 
     @F.arrow_udf("array<bigint>")
     def counted(texts: pa.Array) -> pa.Array:
-        counter = Counter(ranks.value, CHUNK, OVERLAP)
+        counter = on_worker(f"counter {ranks_path}", lambda: Counter(ranks.value, CHUNK, OVERLAP))
         return pa.array([[counter.count(t)[0] for t in row] for row in texts.to_pylist()], pa.list_(pa.int64()))
 
     texts = F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: F.when(p["type"] == "text", harmless(F.coalesce(p["text"], F.lit("")))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -11,8 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtok.functions.chars import WHITESPACE
+from loomtok.llm.common import on_worker
+
 #: The split of the public byte-level vocabularies that the default parameters name.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the pattern has it.
+SPACES = WHITESPACE.replace("\u180e", "")
+#: Runs of white space that the pattern's engine would go back over step by step, until its stack ends.
+LONG_RUN = re.compile(f"[{re.escape(SPACES)}]{{100000,}}")
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of a chunk, and of what two neighbours share.
 CHUNK, OVERLAP = 16_384, 256
@@ -32,9 +40,21 @@ class Counter:
             self.sizes[rank] = len(token)
         self.chunk, self.overlap = chunk, overlap
 
+    def ids(self, text: str) -> list[int]:
+        """The ids of ``text``. Of a very long run of white space the pattern takes all, or all but one sign if something follows, as one piece."""
+        if len(text) < 100_000 or not LONG_RUN.search(text):
+            return self.encoding.encode_ordinary(text)
+        out, at = [], 0
+        for m in LONG_RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
+
     def offsets(self, text: str) -> np.ndarray:
         """The bytes at which tokens of ``text`` begin, and its end."""
-        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        ids = np.array(self.ids(text), np.int64)
         return np.concatenate([[0], np.cumsum(self.sizes[ids])])
 
     def count(self, text: str | None) -> tuple[int, int, int]:
@@ -115,7 +135,7 @@ def token_counts(docs: DataFrame, ranks_path: str = DEFAULT_RANKS, chunk: int =
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(ranks.value, chunk, overlap)
+        counter = on_worker(f"counter {ranks_path} {chunk} {overlap}", lambda: Counter(ranks.value, chunk, overlap))
         for batch in batches:
             rows = [counter.count(t) for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]

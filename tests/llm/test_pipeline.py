@@ -1,8 +1,10 @@
 """The whole pipeline against the stages done by plain models over a small table."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from loomtok.llm import packing, quality, simhash
+from loomtok.llm.token_count import DEFAULT_RANKS, Counter, load_ranks
 
 import corpus_pipeline
 
@@ -58,11 +60,12 @@ def test_stages_against_plain_models(spark, steps, field):
     assert ids(steps[3]) == sorted(docs)
 
     windows = steps[4].collect()
-    assert sum(w.n_tokens for w in windows) == sum(len(t.split()) for _, t in docs)
+    counter = Counter(load_ranks(DEFAULT_RANKS), 16_384, 256)
+    assert sum(w.n_tokens for w in windows) == sum(len(counter.encoding.encode_ordinary(t)) for _, t in docs)
     assert {d for w in windows for d in w.doc_ids} == {d for d, _ in docs}
     for shard in {w.shard for w in windows}:
-        own = sorted(d for d in docs if d[0] // 1024 == shard)
-        assert sorted(w.text for w in windows if w.shard == shard) == sorted(x[4] for x in packing.pack(own, 2048, 64))
+        own = sorted(docs)[shard * 1024 : (shard + 1) * 1024]
+        assert sorted(w.text for w in windows if w.shard == shard) == sorted(x[4].decode() for x in packing.pack([d for d, _ in own], pa.array([t for _, t in own]), 2048, 64, counter))
 
 
 def test_awkward_rows_go_through(clashing, spark, tmp_path, trained_once):
@@ -79,3 +82,26 @@ def test_an_empty_table_goes_through(empty, spark, tmp_path, trained_once):
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() == 0
+
+
+def files(spark):
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    return {p.relative_to(folder).parts[0] for p in folder.rglob("*.parquet")}
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, trained_once, monkeypatch):
+    before = files(spark)
+    corpus_pipeline.run(spark, SF)
+    left = files(spark) - before
+    assert len(left) == 1 and next(iter(left)).startswith("corpus-")
+
+    def broken(*_):
+        raise RuntimeError("stage")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:3], ("broken", broken)])
+    now = files(spark)
+    with pytest.raises(RuntimeError, match="stage"):
+        corpus_pipeline.run(spark, SF)
+    assert files(spark) == now

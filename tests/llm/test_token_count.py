@@ -64,3 +64,10 @@ def test_awkward_rows(clashing, awkward_rows, whole, empty):
     assert [(r.doc_id, r.n_tokens) for r in rows] == [(x[0], whole(x[1] or "")) for x in awkward_rows]
     assert all((r.n_chunks == 0) == (not x[1]) for r, x in zip(rows, awkward_rows, strict=True))
     assert token_counts(empty).count() == 0
+
+
+def test_long_runs_of_white_space(spark):
+    texts = ["a" + " " * 3_000_000 + "b.", " " * 1_200_000, "x\n" + "\t" * 1_500_000]
+    rows = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    counter = Counter(load_ranks(DEFAULT_RANKS), 16_384, 256)
+    assert {r.doc_id: r.n_tokens for r in rows} == {k: len(counter.ids(t)) for k, t in enumerate(texts)}
