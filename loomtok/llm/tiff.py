@@ -66,30 +66,52 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _widths(n: int) -> np.ndarray:
+    """Bits of each code after a clear: 9 to 12, one code before the table needs them, since a table grows by one a code from the second on."""
+    size = 259 + np.maximum(np.arange(n) - 1, 0)
+    return 9 + (size >= 512) + (size >= 1024) + (size >= 2048).astype(np.int64)
+
+
+#: Widths of codes, and the bits before each, up to where every encoder has cleared.
+WIDTHS = _widths(4200)
+BEFORE = np.concatenate([[0], np.cumsum(WIDTHS)])
+_BYTES = [bytes((i,)) for i in range(256)] + [b"", b""]
+
+
+def lzw_codes(data: bytes) -> Iterator[list[int]]:
+    """Runs of codes between those that clear the table, up to the one that ends. All codes of a run are cut out of the bits at once."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    bit, total = 0, 8 * len(data)
+    while bit < total:
+        n = int(np.searchsorted(BEFORE, total - bit, "right")) - 1  # whole codes that are left
+        at = bit + BEFORE[:n]
+        byte = at >> 3
+        codes = ((raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]) >> (24 - (at & 7) - WIDTHS[:n])) & ((1 << WIDTHS[:n]) - 1)
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        if not len(stops):
+            if n == len(WIDTHS):
+                raise ValueError("LZW codes without a clear")
+            yield codes.tolist()
+            return
+        k = int(stops[0])
+        yield codes[:k].tolist()
+        if codes[k] == 257:
+            return
+        bit += int(BEFORE[k + 1])
+
+
 def lzw_decode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bits first, that widen one code early; 256 clears, 257 ends."""
-    base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, out = base.copy(), 9, []
-    held = bits = 0
-    before = None
-    for byte in data:
-        held = held << 8 | byte
-        bits += 8
-        if bits < width:
+    out = []
+    for codes in lzw_codes(data):
+        if not codes:
             continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            table, width, before = base.copy(), 9, None
-            continue
-        if code == 257:
-            break
-        if before is None:
-            if code > 255:
-                raise ValueError("LZW data begin with no byte")
-            entry = table[code]
-        else:
+        if codes[0] > 255:
+            raise ValueError("LZW data begin with no byte")
+        table = _BYTES.copy()
+        before = table[codes[0]]
+        out.append(before)
+        for code in codes[1:]:
             if code < len(table):
                 entry = table[code]
             elif code == len(table):
@@ -97,49 +119,39 @@ def lzw_decode(data: bytes) -> bytes:
             else:
                 raise ValueError("LZW code out of range")
             table.append(before + entry[:1])
-        out.append(entry)
-        before = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+            out.append(entry)
+            before = entry
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes: list[tuple[int, int]] = [(256, 9)]
-    table, width, nxt = {bytes((i,)): i for i in range(256)}, 9, 258
-    now = b""
-    for i in range(len(data)):
-        longer = now + data[i : i + 1]
-        if longer in table:
-            now = longer
+    """The inverse of :func:`lzw_decode`; a code and the byte after it are the key of a longer entry."""
+    runs: list[list[int]] = [[256], []]
+    table: dict[int, int] = {}
+    now, new = -1, 258
+    for byte in data:
+        if now < 0:
+            now = byte
             continue
-        codes.append((table[now], width))
-        table[longer] = nxt
-        nxt += 1
-        if nxt >= 1 << width:
-            width += 1
-        if nxt >= 4094:
-            codes.append((256, min(width, 12)))
-            table, width, nxt = {bytes((k,)): k for k in range(256)}, 9, 258
-        now = longer[-1:]
-    if now:
-        codes.append((table[now], width))
-        nxt += 1
-        if nxt >= 1 << width and width < 12:
-            width += 1
-    codes.append((257, width))
-    held = bits = 0
-    out = bytearray()
-    for code, w in codes:
-        held = held << w | code
-        bits += w
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+        key = now << 8 | byte
+        if (code := table.get(key)) is not None:
+            now = code
+            continue
+        runs[-1].append(now)
+        table[key] = new
+        new += 1
+        now = byte
+        if new >= 4094:
+            runs[-1].append(256)
+            runs.append([])
+            table, new = {}, 258
+    if now >= 0:
+        runs[-1].append(now)
+    runs[-1].append(257)
+    codes = np.array([c for run in runs for c in run])
+    widths = np.concatenate([WIDTHS[: len(run)] for run in runs])
+    bits = np.arange(11, -1, -1)
+    return np.packbits((codes[:, None] >> bits & 1)[bits < widths[:, None]]).tobytes()
 
 
 def decompress(data: bytes, kind: int, size: int) -> bytes:
