@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtok.llm.common import strings
+
 #: What isn't text: comments, declarations, and elements whose body is code. An unclosed one reaches to the end.
 MARKUP = re.compile(r"(<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template)\b.*?(?:</(?:script|style|noscript|template)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z))", re.S | re.I)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
@@ -199,7 +201,7 @@ def html_extraction(pages: DataFrame, labelled: DataFrame | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([extract(p, weights) for p in batch.column(2).to_pylist()], pa.string())], ["page_id", "url", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([extract(p, weights) for p in strings(batch.column(2))], pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     return rows.mapInArrow(run, "page_id bigint, url string, text string")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtok.llm.common import fresh, on_worker, settled
+from loomtok.llm.common import fresh, on_worker, settled, strings
 
 STOP_WORDS = (
     "the of and to a in that is was for on with he be by at der die und das den ein eine zu von mit ist nicht auf im dem des sich "
@@ -90,7 +90,7 @@ def pattern(text: Column) -> Column:
     @F.arrow_udf("smallint")
     def voted(texts: pa.Array) -> pa.Array:
         kinds, stop_words = on_worker("quality", lambda: (character_kinds(), frozenset(w.encode() for w in STOP_WORDS)))
-        rows = np.array([measure(t, kinds, stop_words) for t in texts.to_pylist()], np.int64).reshape(-1, 9)
+        rows = np.array([measure(t, kinds, stop_words) for t in strings(texts)], np.int64).reshape(-1, 9)
         return pa.array((votes_of(rows) + 1).astype(np.int64) @ np.array(PLACES), pa.int16())
 
     return voted(text)

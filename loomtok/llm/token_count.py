@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtok.functions.chars import WHITESPACE
-from loomtok.llm.common import on_worker
+from loomtok.llm.common import on_worker, strings
 
 #: The split of the public byte-level vocabularies that the default parameters name.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, ranks_path: str = DEFAULT_RANKS, chunk: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = on_worker(f"counter {ranks_path} {chunk} {overlap}", lambda: Counter(ranks.value, chunk, overlap))
         for batch in batches:
-            rows = [counter.count(t) for t in batch.column(1).to_pylist()]
+            rows = [counter.count(t) for t in strings(batch.column(1))]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["doc_id", "n_tokens", "n_chunks", "n_widened"])
 
