@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -17,8 +18,8 @@ from loomtok.sources.shared import drop
 
 BITS = 128
 WORD = re.compile(r"\w+")
-#: Characters of text whose word vectors are held at once; pairs of leaves up to which two nodes are compared leaf by leaf; pairs held at once.
-BLOCK_CHARS, LEAF_PAIRS, PAIRS_AT_ONCE = 1_000_000, 256, 500_000
+#: Characters of text whose word vectors are held at once; pairs of leaves up to which two nodes are compared leaf by leaf; pairs of leaves and of nodes held at once.
+BLOCK_CHARS, LEAF_PAIRS, PAIRS_AT_ONCE, NODES_AT_ONCE = 1_000_000, 256, 500_000, 100_000
 
 
 class _Ids(dict):
@@ -79,7 +80,49 @@ def text_hash() -> tuple[Column, Column]:
     return F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))
 
 
-#: Signatures that a sub-trie is expected to have at most, and the chance of meeting a pair at the budget at least.
+#: Signatures that a sub-trie of a cover is expected to have at most, pairs that cost as much as a row of a trie, and tries at most.
+HELD, ROW_COST, TRIES = 1 << 18, 50, 256
+
+
+def cover(n: int, budget: int) -> tuple[int, int, int]:
+    """(blocks, errors, cells) of tries in which all pairs of n distinct signatures within the budget meet.
+
+    The bits are cut into blocks and each block into cells. So many blocks, that a pair within the budget differs in at
+    most ``errors`` bits of one of them; then all its cells but ``errors`` are equal. There is a trie for each
+    choice of that many cells of a block, which come first in it; the other cells of the block follow, with a budget of
+    ``errors`` for the block. Of all cuts it is the one with the least rows and pairs to look at, if bits are
+    even, among those whose sub-tries can be held.
+    """
+    if budget >= BITS:
+        return 1, budget, budget  # all meet in one trie without leading bits
+    best = []
+    for blocks in range(1, budget + 2):
+        errors, width = -(-(budget + 1) // blocks) - 1, BITS // blocks
+        for cells in range(errors + 1, width + 1):
+            tries, prefix = blocks * math.comb(cells, errors), min((cells - errors) * (width // cells), 40)
+            if tries > TRIES:
+                continue
+            left = max(0, min(width, n.bit_length()) - prefix)  # bits of the block below the leading ones, and above single leaves
+            near = sum(math.comb(left, k) for k in range(min(errors, left) + 1)) / 2**left
+            best.append((max(0, n // HELD >> prefix), tries * (ROW_COST + near * n / 2 ** (prefix + 1)), blocks, errors, cells))
+    return min(best)[2:]
+
+
+def cover_orders(blocks: int, errors: int, cells: int) -> tuple[list[np.ndarray], int, int]:
+    """The bit orders of the tries of :func:`cover`, how many bits lead, and how many are the block's."""
+    bits, width = orders(1)[0], BITS // blocks
+    out = []
+    for k in range(blocks):
+        own = bits[k * width : (k + 1) * width]
+        rest = np.concatenate([bits[: k * width], bits[(k + 1) * width :]])
+        cell = own[: cells * (width // cells)].reshape(cells, -1)
+        for last in itertools.combinations(range(cells), errors):
+            lead = np.delete(cell, last, 0).ravel()
+            out.append(np.concatenate([lead, own[~np.isin(own, lead)], rest]))
+    return out, min((cells - errors) * (width // cells), 40), width
+
+
+#: Of tries whose number is given, or their leading bits: signatures that a sub-trie is expected to have at most, and the chance of meeting a pair at the budget at least.
 SUB_TRIE, RECALL = 1024, 0.93
 
 
@@ -100,9 +143,8 @@ def orders(tables: int) -> list[np.ndarray]:
     return [rng.permutation(BITS) for _ in range(tables)]
 
 
-def _trie_keys(reps: DataFrame, tables: int, prefix: int) -> DataFrame:
+def _trie_keys(reps: DataFrame, perms: list[np.ndarray], prefix: int) -> DataFrame:
     """(key, p0, p1, rep): each signature with its bits in the order of each trie; the key names the trie and its first bits."""
-    perms = orders(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,21 +165,24 @@ def spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least[least != used], used[least != used]
 
 
-def trie_pairs(p0: np.ndarray, p1: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int, merge: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(
+    p0: np.ndarray, p1: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int, merge: bool = False, block: tuple[int, int] = (0, 0)
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, of signatures in one sub-trie that differ in at most ``budget`` bits.
 
     ``p0``, ``p1`` are sorted within each range ``starts`` to ``ends``, and a range agrees in its first ``depth``
-    bits. A node is a range of leaves. All pairs of nodes of a level go down together: each gives the pairs of its
-    children, those on different sides with one more differing bit, and goes as soon as that exceeds the budget.
-    A pair of nodes with few leaves is compared leaf by leaf.
+    bits. A node is a range of leaves. All pairs of nodes of a level go down together, as long as they can be held, else in
+    parts: each gives the pairs of its children, those on different sides with one more differing bit, and goes as soon as
+    that exceeds the budget. With a ``block`` (bits, errors) pairs that differ in more than ``errors`` of the first ``bits``
+    may be left out; these nodes go sooner.
 
     With ``merge`` only as many pairs are given as connect the same signatures. Runs of leaves, each within the budget of
     the one before, are connected first, and pairs of nodes within one run aren't looked into: a group of n near
     copies, which mostly is one run, takes n comparisons and not n * n. Pairs found together are replaced by at most
     one per signature.
     """
-    a0, a1, b0, b1, diff = starts, ends, starts, ends, np.zeros(len(starts), np.int64)
-    found_i, found_j = [], []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     run = None
     if merge and len(starts):
         near = np.zeros(len(p0), bool)  # whether a leaf is within the budget of the one before
@@ -145,17 +190,21 @@ def trie_pairs(p0: np.ndarray, p1: np.ndarray, starts: np.ndarray, ends: np.ndar
         near[starts] = False
         run = np.cumsum(~near)
         ok = np.flatnonzero(near & (np.cumsum(np.bincount(starts, minlength=len(p0) + 1) - np.bincount(ends, minlength=len(p0) + 1))[: len(p0)] > 0))
-        found_i.append(ok - 1)
-        found_j.append(ok)
-    while len(a0):
+        found.append((ok - 1, ok))
+    ones: dict[int, np.ndarray] = {}  # how many leaves before each have a bit set, by level
+    todo = [(depth, starts, ends, starts, ends, np.zeros(len(starts), np.int64))]
+    while todo:
+        depth, a0, a1, b0, b1, diff = todo.pop()
+        if len(a0) > NODES_AT_ONCE:  # a part is done before the next one's children are made
+            todo += [(depth, *(x[k : k + NODES_AT_ONCE] for x in (a0, a1, b0, b1, diff))) for k in range(0, len(a0), NODES_AT_ONCE)]
+            continue
+        if not todo:
+            ones.clear()
         if run is not None:
             ok = run[a0] != run[b1 - 1]  # else all leaves of both, and what is between them, are connected
             a0, a1, b0, b1, diff = a0[ok], a1[ok], b0[ok], b1[ok], diff[ok]
-            if not len(a0):
-                break
-        few = (a1 - a0) * (b1 - b0) <= LEAF_PAIRS
-        if few.any() or depth == BITS:
-            few |= depth == BITS
+        few = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (depth == BITS)
+        if few.any():
             fa, fb, nb = a0[few], b0[few], (b1 - b0)[few]
             size = (a1 - a0)[few] * nb
             total = np.cumsum(size)
@@ -163,27 +212,33 @@ def trie_pairs(p0: np.ndarray, p1: np.ndarray, starts: np.ndarray, ends: np.ndar
                 which = np.repeat(part, size[part])
                 k = np.arange(len(which)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
                 i, j = fa[which] + k // nb[which], fb[which] + k % nb[which]
-                ok = i < j if run is None else (i < j) & (run[i] != run[j])
-                i, j = i[ok], j[ok]
-                ok = np.bitwise_count(p0[i] ^ p0[j]).astype(np.int64) + np.bitwise_count(p1[i] ^ p1[j]) <= budget
-                forest = spanning(i[ok], j[ok]) if merge else (i[ok], j[ok])
-                found_i.append(forest[0])
-                found_j.append(forest[1])
+                first = np.bitwise_count(p0[i] ^ p0[j])
+                ok = np.flatnonzero(first <= budget)  # of unlike ones few, so that the rest is looked up for few
+                i, j, first = i[ok], j[ok], first[ok]
+                ok = first.astype(np.int64) + np.bitwise_count(p1[i] ^ p1[j]) <= budget
+                ok &= i < j if run is None else (i < j) & (run[i] != run[j])
+                found.append(spanning(i[ok], j[ok]) if merge else (i[ok], j[ok]))
+                held += len(found[-1][0])
+                if merge and held > max(PAIRS_AT_ONCE, 4 * len(p0)):
+                    found = [spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                    held = 0
             a0, a1, b0, b1, diff = a0[~few], a1[~few], b0[~few], b1[~few], diff[~few]
-            if not len(a0):
-                break
-        word, shift = (p0, 63 - depth) if depth < 64 else (p1, 127 - depth)
-        ones = np.concatenate([[0], np.cumsum((word >> np.uint64(shift)) & np.uint64(1)).astype(np.int64)])
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        if not len(a0):
+            continue
+        if depth not in ones:
+            word, shift = (p0, 63 - depth) if depth < 64 else (p1, 127 - depth)
+            ones[depth] = np.concatenate([[0], np.cumsum((word >> np.uint64(shift)) & np.uint64(1))]).astype(np.int32 if len(p0) < 2**31 else np.int64)
+        set_ = ones[depth]
+        am, bm = a1 - (set_[a1] - set_[a0]), b1 - (set_[b1] - set_[b0])
         cross = a0 != b0  # of a node with itself, one of the two mixed pairs is enough
         parts = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1), (am[cross], a1[cross], b0[cross], bm[cross], diff[cross] + 1)]
         a0, a1, b0, b1, diff = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ok = (a1 > a0) & (b1 > b0) & (diff <= budget)
-        a0, a1, b0, b1, diff = a0[ok], a1[ok], b0[ok], b1[ok], diff[ok]
-        depth += 1
-    if not found_i:
+        ok = (a1 > a0) & (b1 > b0) & (diff <= (min(block[1], budget) if depth < block[0] else budget))
+        todo.append((depth + 1, a0[ok], a1[ok], b0[ok], b1[ok], diff[ok]))
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j
 
 
 def _components(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -203,7 +258,7 @@ def _components(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.n
         low = new
 
 
-def _links(budget: int, prefix: int, chunk: int):
+def _links(budget: int, prefix: int, chunk: int, block: tuple[int, int] = (0, 0)):
     """Maps batches sorted by key to (a, b): each signature's document with the least one of its group within a sub-trie."""
 
     def solve(key: np.ndarray, p0: np.ndarray, p1: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
@@ -212,7 +267,7 @@ def _links(budget: int, prefix: int, chunk: int):
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         starts, ends = edges[:-1], edges[1:]
         more = ends - starts > 1
-        i, j = trie_pairs(p0, p1, starts[more], ends[more], prefix, budget, merge=True)
+        i, j = trie_pairs(p0, p1, starts[more], ends[more], prefix, budget, True, block)
         used = np.unique(np.concatenate([i, j]))
         least = _components(len(used), np.searchsorted(used, i), np.searchsorted(used, j), rep[used])
         linked = rep[used] != least
@@ -228,9 +283,10 @@ def _links(budget: int, prefix: int, chunk: int):
             rows += len(cols[0])
             for h, c in zip(held, cols, strict=True):
                 h.append(c)
-            if rows >= chunk and (key := np.concatenate(held[0]))[0] != key[-1]:
-                cut = np.searchsorted(key, key[-1])  # the last sub-trie may go on in the next batch
+            if rows >= chunk and held[0][0][0] != cols[0][-1]:
                 whole = [np.concatenate(h) for h in held]
+                key = whole[0]
+                cut = np.searchsorted(key, key[-1])  # the last sub-trie may go on in the next batch
                 yield solve(whole[0][:cut], whole[1][:cut].view(np.uint64), whole[2][:cut].view(np.uint64), whole[3][:cut])
                 held, rows = [[c[cut:]] for c in whole], len(key) - cut
         if rows:
@@ -276,13 +332,16 @@ def _groups(docs: DataFrame, budget: int, tables: int | None, prefix: int | None
     """
     sigs = settled(signature_table(docs))
     nodes = settled(sigs.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "h0", "h1")).alias("row")).withColumn("rep", F.monotonically_increasing_id()))
-    if tables is None or prefix is None:
-        found = layout(nodes.count(), budget)
-        prefix = found[0] if prefix is None else prefix
-        tables = found[1] if tables is None else tables
+    if tables is None and prefix is None:
+        blocks, errors, cells = cover(nodes.count(), budget)
+        perms, prefix, width = cover_orders(blocks, errors, cells)
+        block = (width, errors)
+    else:
+        found = layout(nodes.count(), budget) if tables is None or prefix is None else (prefix, tables)
+        prefix, perms, block = found[0] if prefix is None else prefix, orders(found[1] if tables is None else tables), (0, 0)
     # by the sub-trie, not by key alone: a partition's rows then lie together for the merge of runs below
-    keys = _trie_keys(nodes, tables, prefix).repartition("key").sortWithinPartitions("key")
-    links = connected(keys.mapInArrow(_links(budget, prefix, 200_000), "a bigint, b bigint"))
+    keys = _trie_keys(nodes, perms, prefix).repartition("key").sortWithinPartitions("key")
+    links = connected(keys.mapInArrow(_links(budget, prefix, 200_000, block), "a bigint, b bigint"))
     placed = nodes.join(links.select(F.col("b").alias("rep"), "a"), "rep", "left").withColumn("a", F.coalesce("a", "rep"))
     first = placed.groupBy("a").agg(F.min("row").alias("first"))
     named = placed.join(first, "a").select("s0", "s1", "first")
@@ -293,11 +352,13 @@ def near_dups(docs: DataFrame, budget: int = 20, tables: int | None = None, pref
     """(doc_id, group_id, keep): the group of each document, named by its least doc_id, the one that is kept.
 
     Documents whose signatures differ in at most ``budget`` of 128 bits belong together, and so do those that a
-    chain of such pairs connects. Every document is a query. Equal signatures meet first; the distinct ones go into
-    ``tables`` binary tries with the bits in another order each. Two signatures meet where they agree in the first
-    ``prefix`` bits of a trie, which makes the search approximate: a pair at distance d is found with probability
-    1 - (1 - C(128 - d, prefix) / C(128, prefix)) ** tables; within a sub-trie it is exact. By default :func:`layout`
-    takes both from the number of signatures, 16 and 48 up to 67 million of them: 0.99 at d = 16 and 0.93 at the budget.
+    chain of such pairs connects. Every document is a query and no pair is missed. Equal signatures meet first; the distinct
+    ones go into binary tries with the bits in another order each, laid out by :func:`cover` from the number of
+    signatures and the budget: for 20 bits 21 tries that lead with 6 equal bits, up to 16 million of them.
+
+    Only with ``tables`` or ``prefix`` is the search approximate: so many tries in random orders, matched equal in so many
+    first bits; what isn't given comes from :func:`layout`. A pair at distance d is then found with probability
+    1 - (1 - C(128 - d, prefix) / C(128, prefix)) ** tables.
 
     Rows that repeat a doc_id are told apart by their text: each is searched, and each is kept or not on its own; of
     those of one group the least hash of a text is kept. A null doc_id, and null or blank text, joins no group: such a

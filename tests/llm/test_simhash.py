@@ -174,3 +174,91 @@ def test_the_layout_keeps_its_chance_at_every_size():
         assert n / 2**prefix <= 1024 or prefix == 40
         assert 1 - (1 - math.comb(108, prefix) / math.comb(128, prefix)) ** tables >= 0.93
     assert simhash.layout(10**6, 20) == (16, 48)
+
+
+def planted(pairs, seed, distance):
+    """Signatures of rows 0 to 2 * pairs, 2 * k and 2 * k + 1 at this distance and all others far apart."""
+    r = np.random.default_rng(seed)
+    bits = r.integers(0, 2, (2 * pairs, 128), dtype=np.uint8)
+    bits[1::2] = bits[::2]
+    for k in range(pairs):
+        bits[2 * k + 1, r.choice(128, distance, replace=False)] ^= 1
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">i8").astype(np.int64)
+
+
+def with_signatures(spark, monkeypatch, words):
+    """A table of as many documents, which the module takes to have these signatures."""
+    rows = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(words)], "doc_id bigint, s0 bigint, s1 bigint")
+    h0, h1 = simhash.text_hash()
+    monkeypatch.setattr(simhash, "signature_table", lambda docs: docs.select("doc_id", h0.alias("h0"), h1.alias("h1")).join(rows, "doc_id"))
+    return spark.createDataFrame([(k, f"text {k}") for k in range(len(words))], "doc_id bigint, text string")
+
+
+def test_no_pair_at_the_budget_is_left_out(spark, monkeypatch):
+    docs = with_signatures(spark, monkeypatch, planted(400, 1, 20))
+    got = {r.doc_id: r.group_id for r in simhash.near_dups(docs).collect()}
+    assert got == {k: k - k % 2 for k in range(800)}
+
+
+def test_no_pair_over_the_budget_is_connected(spark, monkeypatch):
+    docs = with_signatures(spark, monkeypatch, planted(100, 2, 21))
+    assert all(r.doc_id == r.group_id and r.keep for r in simhash.near_dups(docs).collect())
+
+
+@pytest.mark.parametrize("budget", [0, 3, 40, 127, 128])
+def test_no_pair_is_left_out_at_other_budgets(spark, monkeypatch, budget):
+    docs = with_signatures(spark, monkeypatch, planted(10, budget, min(budget, 127)))
+    got = {r.doc_id: r.group_id for r in simhash.near_dups(docs, budget).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(10))
+
+
+def test_query_equals_all_pairs(spark):
+    expected, _ = brute_groups(*table(spark.read.parquet(f"{SF}/documents.parquet")), 20)
+    got = {r.doc_id: r.group_id for r in queries.op10_simhash(spark, SF).collect()}
+    assert got == {d: expected.get(d, d) for d in got}
+
+
+@pytest.mark.parametrize("n", [0, 1, 10**5, 10**7, 10**8, 10**9])
+def test_a_cover_has_each_pattern_of_errors(n):
+    """Bits that differ, 20 at random and 20 in one place: in some trie none leads, and the block has no more than its errors."""
+    blocks, errors, cells = simhash.cover(n, 20)
+    orders, prefix, width = simhash.cover_orders(blocks, errors, cells)
+    assert n >> prefix <= simhash.HELD and all(sorted(o) == list(range(128)) for o in orders)
+    assert len(orders) == 21 or n > 10**7
+    r = np.random.default_rng(n)
+    spots = [r.choice(128, 20, replace=False) for _ in range(300)] + [r.choice(orders[k % len(orders)][:40], 20, replace=False) for k in range(100)]
+    differs = np.zeros((400, 128), bool)
+    for k, at in enumerate(spots):
+        differs[k, at] = True
+    met = np.zeros(400, bool)
+    for o in orders:
+        met |= ~differs[:, o[:prefix]].any(1) & (differs[:, o[:width]].sum(1) <= errors)
+    assert met.all()
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_tries_in_parts_equal_all_pairs(monkeypatch, merge):
+    """Nodes and pairs that can't be held at once, and a budget of its own for the first bits."""
+    monkeypatch.setattr(simhash, "NODES_AT_ONCE", 7)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(simhash, "LEAF_PAIRS", 4)
+    r = np.random.default_rng(9)
+    bits = np.unpackbits(r.integers(0, 256, (5, 16), dtype=np.uint8)[r.integers(0, 5, 300)], axis=1)
+    bits ^= (r.random(bits.shape) < 0.07).astype(np.uint8)
+    words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8").astype(np.uint64)
+    words = words[np.lexsort((words[:, 1], words[:, 0]))]
+    a, b = np.triu_indices(300, 1)
+    x = words[a] ^ words[b]
+    near = np.bitwise_count(x).sum(1) <= 16
+    inner = near & (np.bitwise_count(x[:, 0] >> np.uint64(46)) <= 2)
+    n = np.arange(300)
+    for block, must in (((0, 0), near), ((18, 2), inner)):
+        i, j = simhash.trie_pairs(words[:, 0].copy(), words[:, 1].copy(), np.array([0]), np.array([300]), 0, 16, merge, block)
+        if merge:
+            got = simhash._components(300, i, j, n)
+            all_near = simhash._components(300, a[near], b[near], n)
+            assert (got[a[must]] == got[b[must]]).all() and (all_near[i] == all_near[j]).all()
+        else:
+            got = set(zip(i.tolist(), j.tolist(), strict=True))
+            assert len(got) == len(i) and set(zip(a[must].tolist(), b[must].tolist(), strict=True)) <= got <= set(zip(a[near].tolist(), b[near].tolist(), strict=True))
+    assert 300 < inner.sum() < near.sum()
