@@ -105,3 +105,8 @@ def test_only_the_result_stays_in_the_shared_folder(spark, trained_once, monkeyp
     with pytest.raises(RuntimeError, match="stage"):
         corpus_pipeline.run(spark, SF)
     assert files(spark) == now
+
+
+def test_the_stage_leaves_no_pair_at_the_budget(spark, monkeypatch):
+    docs = test_simhash.with_signatures(spark, monkeypatch, test_simhash.planted(400, 3, 20))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == list(range(0, 800, 2))
