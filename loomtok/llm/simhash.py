@@ -63,7 +63,7 @@ def signatures(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h0, h1, s0, s1): each row that has words and a doc_id, by its doc_id and the hash of its text, with its signature."""
+    """(doc_id, h0, h1, s0, s1): each row that has words, by its doc_id, which may be null, and the hash of its text, with its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -72,7 +72,7 @@ def signature_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(there)) for k in range(3)), pa.array(words[:, 0]), pa.array(words[:, 1])], ["doc_id", "h0", "h1", "s0", "s1"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(h.alias(n) for h, n in zip(text_hash(), ("h0", "h1"), strict=True)), "text")
-    return rows.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, h0 bigint, h1 bigint, s0 bigint, s1 bigint")
+    return rows.where("text is not null").mapInArrow(run, "doc_id bigint, h0 bigint, h1 bigint, s0 bigint, s1 bigint")
 
 
 def text_hash() -> tuple[Column, Column]:
@@ -328,10 +328,11 @@ def connected(edges: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame, budget: int, tables: int | None, prefix: int | None) -> DataFrame:
     """(doc_id, h0, h1, group_id, first) for each row with a signature; ``first`` are the hashes of the row of its group that stays.
 
-    Rows of a group are in order of doc_id, then of their text's hash. Equal signatures are one node, named by the least of their rows.
+    Rows of a group are in order of doc_id, those without one last, then of their text's hash. Equal signatures are one
+    node, named by the least of their rows.
     """
     sigs = settled(signature_table(docs))
-    nodes = settled(sigs.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "h0", "h1")).alias("row")).withColumn("rep", F.monotonically_increasing_id()))
+    nodes = settled(sigs.groupBy("s0", "s1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h0", "h1")).alias("row")).withColumn("rep", F.monotonically_increasing_id()))
     if tables is None and prefix is None:
         blocks, errors, cells = cover(nodes.count(), budget)
         perms, prefix, width = cover_orders(blocks, errors, cells)
@@ -366,25 +367,28 @@ def near_dups(docs: DataFrame, budget: int = 20, tables: int | None = None, pref
     are left out.
     """
     h0, h1, doc = text_hash()[0], text_hash()[1], F.col("doc_id").cast("bigint")
-    groups = _groups(docs, budget, tables, prefix).distinct()
+    groups = _groups(docs.where(doc.isNotNull()), budget, tables, prefix).distinct()
     out = docs.select(doc.alias("doc_id"), h0.alias("h0"), h1.alias("h1")).join(groups, ["doc_id", "h0", "h1"], "left")
     keep = F.col("group_id").isNull() | ((F.col("group_id") == F.col("doc_id")) & (F.col("first.h0") == F.col("h0")) & (F.col("first.h1") == F.col("h1")))
     return out.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), keep.alias("keep"))
 
 
-def stage(docs: DataFrame, budget: int = 20, tables: int | None = None, prefix: int | None = None) -> DataFrame:
+def stage(docs: DataFrame, budget: int = 20, tables: int | None = None, prefix: int | None = None, without_id: bool = False) -> DataFrame:
     """One document of each group of :func:`near_dups`, with all its columns.
 
-    Of rows that repeat both doc_id and text one stays. Rows without a doc_id, or without words, all stay.
+    Of rows that repeat both doc_id and text one stays. Rows without a doc_id, or without words, all stay; but with
+    ``without_id`` those with a null doc_id are searched like all others: they come last in a group, and a null repeats another.
     """
-    g, a, b, n = fresh(docs, "__simhash_doc", "__simhash_h0", "__simhash_h1", "__simhash_n")
+    g, a, b, g_, a_, b_, n = fresh(docs, *(f"__simhash_{x}" for x in ("doc", "h0", "h1", "its_doc", "its_h0", "its_h1", "n")))
     rows = docs.withColumns({g: F.col("doc_id").cast("bigint"), a: text_hash()[0], b: text_hash()[1]})
-    groups = settled(_groups(docs, budget, tables, prefix))
-    stays = (F.col("group_id") == F.col("doc_id")) & (F.col("first.h0") == F.col("h0")) & (F.col("first.h1") == F.col("h1"))
-    gone = groups.where(~stays).select(F.col("doc_id").alias(g), F.col("h0").alias(a), F.col("h1").alias(b)).distinct()
-    again = groups.where(stays).groupBy(F.col("doc_id").alias(g), F.col("h0").alias(a), F.col("h1").alias(b)).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n)
-    kept = rows.join(gone, [g, a, b], "left_anti")
+    groups = settled(_groups(docs if without_id else docs.where(F.col("doc_id").cast("bigint").isNotNull()), budget, tables, prefix))
+    stays = F.col("group_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h0") == F.col("h0")) & (F.col("first.h1") == F.col("h1"))
+    its = F.col("doc_id").alias(g_), F.col("h0").alias(a_), F.col("h1").alias(b_)
+    gone = groups.where(~stays).select(*its).distinct()
+    again = groups.where(stays).groupBy(*its).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n)
+    same = F.col(g).eqNullSafe(F.col(g_)) & (F.col(a) == F.col(a_)) & (F.col(b) == F.col(b_))
+    kept = rows.join(gone, same, "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    once = kept.join(again, [g, a, b], "left_semi").dropDuplicates([g, a, b])
-    return kept.join(again, [g, a, b], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = kept.join(again, same, "left_semi").dropDuplicates([g, a, b])
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

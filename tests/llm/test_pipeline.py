@@ -110,3 +110,23 @@ def test_only_the_result_stays_in_the_shared_folder(spark, trained_once, monkeyp
 def test_the_stage_leaves_no_pair_at_the_budget(spark, monkeypatch):
     docs = test_simhash.with_signatures(spark, monkeypatch, test_simhash.planted(400, 3, 20))
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == list(range(0, 800, 2))
+
+
+def test_the_stage_leaves_no_copy_without_an_id(spark):
+    """Copies go among rows without a doc_id and between them and others, of which one stays."""
+    a, b, c = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven eight nine ten", "quite another text that is alone"
+    docs = spark.createDataFrame([(None, a), (9, a), (5, a + "!"), (None, b), (None, b), (None, b + "!"), (None, c), (6, "nothing of these words is in any other row here"), (None, None)], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=repr)
+    first = min([b, b + "!"], key=lambda t: docs.where(docs.text == t).select(simhash.text_hash()[0]).first()[0])
+    assert got == sorted([(5, a + "!"), (None, first), (None, c), (6, "nothing of these words is in any other row here"), (None, None)], key=repr)
+
+
+def test_a_row_without_an_id_connects_others(spark):
+    """A chain whose ends are over the budget apart, and the row between them has no doc_id."""
+    words = [f"word{k:03}" for k in range(120)]
+    texts = [" ".join(words[k : k + 100]) for k in range(20)]
+    sigs, _ = simhash.signatures(texts)
+    far = np.bitwise_count(sigs[:, None] ^ sigs[None]).astype(int).sum(2)
+    x, y, z = next((x, y, z) for x in range(20) for y in range(20) for z in range(20) if far[x, y] <= 20 and far[y, z] <= 20 and far[x, z] > 20)
+    docs = spark.createDataFrame([(1, texts[x]), (None, texts[y]), (2, texts[z])], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [1]
