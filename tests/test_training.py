@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import loomtok as lt
+import pyarrow as pa
 import pytest
 from loomtok.operators import bpe, wordpiece
 from loomtok.plans import model_file
@@ -157,3 +158,28 @@ def test_null_unk_and_prefix_load(tmp_path):
     assert model.unk_token is None and model.byte_level
     t = lt.Tokenizer(str(path))
     assert t.encode("aba") == [5, 9] and t.token_to_id("a") == 9 and t.token_to_id("zz") is None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merges_of_a_table_are_those_of_lists(seed):
+    """Long words, wide counts and few letters: counts are taken anew several times, runs of a letter overlap, symbols come about twice."""
+    r = random.Random(seed)
+    words = [("".join(r.choice("abcd"[: 1 + seed % 4]) for _ in range(r.choice([1, 5, 400]))), r.choice([1, 3, 1000, 10**7])) for _ in range(40)]
+    words = list(dict(words).items())
+    base = set("abcd")
+    expected = naive_bpe([(list(w), f) for w, f in words], base, 60, 2)
+    table = pa.table({"piece": [w for w, _ in words], "freq": [f for _, f in words]})
+    assert bpe.learn_on_driver(table, base, 60, 2) == expected == bpe.learn_on_driver([(list(w), f) for w, f in words], base, 60, 2)
+
+
+def test_pieces_are_learned_from_in_little_memory():
+    """The driver takes many pieces: of lists of symbols and sets of words each takes a kilobyte, in arrays a fraction."""
+    import tracemalloc
+
+    n = 100_000
+    table = pa.table({"piece": [f"{k * 7919 % 1_000_003:06d}{k % 89:02d}" for k in range(n)], "freq": [2 + k % 5 for k in range(n)]})
+    tracemalloc.start()
+    assert len(bpe.learn_on_driver(table, set("0123456789"), 500, 2)) == 490
+    assert tracemalloc.get_traced_memory()[1] < n * 600
+    tracemalloc.stop()
+    assert TrainConfig().driver_pieces > 4_000_000
