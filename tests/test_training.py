@@ -183,3 +183,18 @@ def test_pieces_are_learned_from_in_little_memory():
     assert tracemalloc.get_traced_memory()[1] < n * 600
     tracemalloc.stop()
     assert TrainConfig().driver_pieces > 4_000_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_wordpiece_of_a_table_with_many_pairs(seed):
+    """Symbols with hundreds of pairs, of which many go: none of those is merged, and the scores of the rest are up to date."""
+    r = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz#012345"
+    words = list({"".join(r.choice(letters) for _ in range(r.randint(1, 8))): r.choice([2, 2, 3, 40]) for _ in range(700)}.items())
+    lists = [([c if k == 0 else "##" + c for k, c in enumerate(w)], f) for w, f in words]
+    table = pa.table({"piece": [w for w, _ in words], "freq": [f for _, f in words]})
+    base = wordpiece.base(table, "##")
+    assert base == sorted({s for syms, _ in lists for s in syms})
+    made = wordpiece.learn_on_driver(table, base, len(base) + 300, 2, "##")
+    assert made == naive_wordpiece(lists, base, len(base) + 300, 2, "##")
+    assert wordpiece.learn_on_driver(table, base, 10**5, 2, "##")[:300] == made
