@@ -1,8 +1,12 @@
 """Ids of awkward and long texts decode to the same texts."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from loomtok import queries
-from loomtok.operators.encode import Encoder, Model, decode_column, encode_column
+from loomtok.functions.chars import byte_encode
+from loomtok.operators.encode import Encoder, Model, decode_array, decode_column, encode_column, round_trip_column
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,3 +43,41 @@ def test_a_unigram_vocabulary_without_scores_counts_tokens(tmp_path):
     encoder = Encoder(model_file.load(str(path)))
     assert encoder.encode("aba abab ababa b") == [4, 2, 2, 2, 4, 1]
     assert len(encoder.encode("ababa")) == 2 and encoder.encode("abc") == []
+
+
+def test_arrays_of_ids_decode_as_lists_do():
+    """Cut characters, unknown, negative and added ids, null and empty lists, slices of arrays; a row that isn't UTF-8 doesn't touch its neighbours."""
+    r = random.Random(4)
+    plain = queries.BYTE_BPE_MODEL
+    for model in (plain, Model("BPE", plain.vocab, plain.merges, added={"<x>": 900, "then": 901})):
+        encoder = Encoder(model)
+        for _ in range(200):
+            rows = [None if r.random() < 0.1 else [r.choice([-2, 900, 901, 902, 10**6, r.randrange(len(plain.vocab))]) for _ in range(r.randrange(6))] for _ in range(r.randrange(3, 9))]
+            expected = [None if x is None else encoder.decode(x) for x in rows]
+            array = pa.array(rows, pa.list_(pa.int32()))
+            assert decode_array(encoder, array).to_pylist() == expected and decode_array(encoder, array.slice(1, len(rows) - 2)).to_pylist() == expected[1:-1]
+
+
+def test_a_round_trip_is_one_pass(spark):
+    """Ids aren't rows between two passes."""
+    plan = queries.decode_round_trip_docs(spark, SMALL)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("MapInArrow") == 1
+    texts = ["", "é漢\U0001f600 \x00", "a　b\n", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {x.doc_id: x.decoded for x in round_trip_column(rows, queries.BYTE_BPE_MODEL, ["doc_id"]).collect()} == dict(enumerate(texts))
+
+
+def test_pieces_merged_together_are_those_merged_one_by_one():
+    """Merges in any order, also of what later ones make, runs of one symbol, pieces with unknown characters, tokens that the vocabulary lacks."""
+    r = random.Random(2)
+    for k in range(60):
+        letters = "abcé"[: 1 + k % 4]
+        symbols = sorted({c for x in letters for c in byte_encode(x)})
+        merges = []
+        for _ in range(r.randrange(40)):
+            merges.append((r.choice(symbols), r.choice(symbols)))
+            symbols.append("".join(merges[-1]))
+        vocab = {s: i for i, s in enumerate(dict.fromkeys(s for s in symbols if len(s) == 1 or r.random() < 0.9))} | ({"<u>": 999} if k % 2 else {})
+        encoder = Encoder(Model("BPE", vocab, merges, unk_token="<u>"))
+        pieces = ["".join(r.choice(letters + "x" * (r.random() < 0.05)) for _ in range(r.choice([1, 2, 5, 80]))) for _ in range(60)]
+        assert encoder._bpe_many(pieces) == [encoder._bpe(byte_encode(p)) for p in pieces] == encoder.many(pieces)
