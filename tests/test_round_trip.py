@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from loomtok import queries
 from loomtok.functions.chars import byte_encode
+from loomtok.operators import encode
 from loomtok.operators.encode import Encoder, Model, decode_array, decode_column, encode_column, round_trip_column
 
 SMALL = "/root/testdata/sf0.001"
@@ -81,3 +82,16 @@ def test_pieces_merged_together_are_those_merged_one_by_one():
         encoder = Encoder(Model("BPE", vocab, merges, unk_token="<u>"))
         pieces = ["".join(r.choice(letters + "x" * (r.random() < 0.05)) for _ in range(r.choice([1, 2, 5, 80]))) for _ in range(60)]
         assert encoder._bpe_many(pieces) == [encoder._bpe(byte_encode(p)) for p in pieces] == encoder.many(pieces)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 16_000_000])
+def test_joined_ids_are_those_of_lists(spark, monkeypatch, at_once):
+    """In one pass, whatever is joined at once: null, empty and long texts, bytes of all lengths in digits."""
+    monkeypatch.setattr(encode, "JOINED_BYTES", at_once)
+    texts = ["", "a\t\n", None, "é漢\U0001f600 \x00", "then " * 3000, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    expected = {i: None if t is None else " ".join(map(str, [256, *t.encode(), 257])) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in encode.joined_column(rows, queries.BYTE_MODEL, ["doc_id"], bos=256, eos=257).collect()} == expected
+    lists = encode_column(rows, queries.BYTE_MODEL, ["doc_id"]).where("doc_id = 4")
+    assert encode.joined_column(lists.select("doc_id").join(rows, "doc_id"), queries.BYTE_MODEL, ["doc_id"]).first().ids == " ".join(map(str, lists.first().ids))
+    assert "array_join" not in queries.bos_eos_wrap_docs(spark, SMALL)._jdf.queryExecution().toString()
