@@ -3,7 +3,9 @@
 import itertools
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from loomtok.operators import unigram
 from loomtok.operators.unigram import Token
@@ -114,3 +116,25 @@ def test_backends_give_the_same(spark, kind):
     out = [learn(pieces, TrainConfig(trainer=kind, vocab_size=size, backend=b, driver_pieces=n)) for b, n in (("driver", 0), ("distributed", 10**6), ("auto", 10**6), ("auto", 5))]
     assert all((o.tokens, o.merges, o.scores) == (out[0].tokens, out[0].merges, out[0].scores) for o in out)
     assert len(out[0].tokens) == size and set(out[0].scores) == {-1.0}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_words_segmented_together_are_those_segmented_one_by_one(seed):
+    """Also with equal sums, words without a segmentation, NUL and wide characters, no tokens at all; and nothing is left to the plain way but those without."""
+    r = random.Random(seed)
+    letters = "ab\0é\U0001f600"[: 1 + seed % 5]
+    scores = {"".join(r.choice(letters) for _ in range(r.randint(1, 6))): r.choice([-1.0, -2.0, -0.1, -0.2, -0.3, r.uniform(-9, 0)]) for _ in range(r.randrange(30))}
+    words = ["".join(r.choice(letters + "z" * (r.random() < 0.1)) for _ in range(r.choice([0, 1, 3, 12, 90]))) for _ in range(60)]
+    freqs = np.array([r.randint(1, 10**12) for _ in words])
+    trie = unigram.Trie(scores)
+    into = np.zeros(len(trie.tokens), np.int64)
+    failed = trie.count(words, freqs, into)
+    expected, none = Counter(), []
+    for k, word in enumerate(words):
+        found = unigram.segment(word, scores, max(map(len, scores), default=1))
+        if "".join(found) == word and (len(found) > 0 or not word):
+            for token in found:
+                expected[token] += int(freqs[k])
+        else:
+            none.append(k)
+    assert {t: n for t, n in zip(trie.tokens, into.tolist()) if n} == expected and failed == none  # noqa: B905
